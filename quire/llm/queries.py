@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import encoding, leakage, lookalikes
+from quire.llm import canonical, encoding, leakage, lookalikes, neardup, splitting
 from quire.session import table
 
 
@@ -18,6 +18,68 @@ def _texts(spark: SparkSession, d: str, names: dict[str, tuple[str, str]]) -> Da
     return out
 
 
+#: Words of a sequence and least similarity of near-duplicate records.
+P2_WORDS, P2_SIMILARITY = 3, 0.75
+
+
+def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(table(spark, d, "library"), "ord", "text", P2_WORDS, P2_SIMILARITY)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of library records with nearly the same text."""
+    found = neardup.all_pairs(*_p2(spark, d))
+    return found.select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each near-duplicate record with its group and its number of links."""
+    return neardup.groups(*_p2(spark, d)).select(F.col("id").alias("ord"), "group_id", "n_links")
+
+
+def p2_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The versions that sermons gives the records of each group, and how many records have each."""
+    group = p2_groups(spark, d).select("ord", "group_id")
+    given = F.coalesce(F.col("version"), F.lit("")) != ""
+    key = F.when(given, F.concat_ws("-", "id", "version")).otherwise(F.col("id"))
+    library = table(spark, d, "library").select("ord", key.alias("id"))
+    version = table(spark, d, "sermons").select("id", F.coalesce("version", F.lit("")).alias("version")).distinct()
+    return group.join(library, "ord").join(version, "id").groupBy("group_id", "version").agg(F.count_distinct("ord").alias("n_records"))
+
+
+#: Size limit and overlap of the pieces, by table.
+P3_LIMITS = {"library": ("ord", "text", 8000, 400), "paragraphs": ("id", "content", 1000, 100)}
+
+
+def p3_pieces(spark: SparkSession, d: str, whole: bool = True) -> DataFrame:
+    """The pieces of every text of library and paragraphs."""
+    parts = []
+    for t, (k, c, limit, overlap) in P3_LIMITS.items():
+        rows = table(spark, d, t).select(F.lit(t).alias("tab"), F.col(k).cast("string").alias("rec_key"), F.col(c).alias("content"))
+        parts.append(splitting.pieces(rows, ["tab", "rec_key"], "content", limit, overlap, whole=whole))
+    return parts[0].unionByName(parts[1])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records that come out as more than one piece."""
+    return p3_pieces(spark, d, whole=False).filter("piece > 1").select("tab", "rec_key").distinct()
+
+
+def p5_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Each typed city with the entry it means; without one, city_id is -1."""
+    found = canonical.canonical(table(spark, d, "sermons"), "city", table(spark, d, "ref_cities"), "city_id", "city_name", "area", "alt_names")
+    return found.select("city", F.coalesce("city_id", F.lit(-1)).alias("city_id"), "distance")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sermons whose city isn't written as in the reference, with the entry it means."""
+    exact = table(spark, d, "ref_cities").select(F.col("city_name").alias("city")).filter("city is not null").distinct()
+    # the typed values are compared once each; sermons meet them by equality
+    mapped = p5_mapping(spark, d).join(exact, "city", "left_anti")
+    sermons = table(spark, d, "sermons").select(F.col("id").alias("sermon_id"), "city")
+    return sermons.join(mapped, "city").select("sermon_id", "city_id").distinct()
+
+
 P6_TEXTS = {"paragraphs": ("id", "content"), "library": ("ord", "title")}
 
 
@@ -46,6 +108,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
+    "p2_versions": p2_versions,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
+    "p5_found": p5_found,
+    "p5_mapping": p5_mapping,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
     "p7_ids": p7_ids,
@@ -60,6 +129,18 @@ dr as (select doc_id, array_to_string(w[s : s + 11], ' ') as r from doc, unnest(
 ir as (select distinct item_id, array_to_string(w[s : s + 11], ' ') as r from item, unnest(generate_series(1, greatest(len(w) - 11, 0))) u(s) where len(w) >= 12)
 """
 
+_P2 = r"""
+with w as (select ord, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from library),
+g as (select distinct ord, w[s] || ' ' || w[s + 1] || ' ' || w[s + 2] as t from w, unnest(generate_series(1, greatest(len(w) - 2, 0))) u(s) where len(w) >= 3),
+n as (select ord, count(*) as n from g group by ord)
+"""
+
 ORACLE = {
+    "p2_found": _P2 + """
+select a as ord_a, b as ord_b from (select x.ord as a, y.ord as b, count(*) as k from g x join g y on x.t = y.t and x.ord < y.ord group by 1, 2) o
+join n na on na.ord = a join n nb on nb.ord = b where k >= 0.75 * (na.n + nb.n - k)""",
+    "p3_found": """
+select distinct 'library' as tab, cast(ord as varchar) as rec_key from library where length(text) > 8000
+union all select distinct 'paragraphs', cast(id as varchar) from paragraphs where length(content) > 1000""",
     "p8_found": _P8 + "select distinct doc_id, item_id from dr join ir using (r)",
 }
