@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import canonical, encoding, leakage, lookalikes, neardup, splitting
+from quire.llm import canonical, encoding, leakage, lookalikes, neardup, sharedspans, splitting
 from quire.session import table
 
 
@@ -65,6 +65,31 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d, whole=False).filter("piece > 1").select("tab", "rec_key").distinct()
 
 
+def _p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    paragraphs = table(spark, d, "paragraphs").select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("rec"), F.col("content").alias("text"))
+    citations = table(spark, d, "citations").select(F.concat(F.lit("c"), F.col("id")).alias("rec"), F.col("quoted_text").alias("text"))
+    return paragraphs.unionByName(citations)
+
+
+#: Characters that two records must share in a row.
+P4_LEAST = 150
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of paragraphs and citations with a passage in common."""
+    return sharedspans.pairs(_p4_texts(spark, d), "rec", "text", P4_LEAST)
+
+
+def p4_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The passages that two records have in common, with their places."""
+    return sharedspans.spans(_p4_texts(spark, d), "rec", "text", P4_LEAST)
+
+
+def p4_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Of each record the characters that stand in another record too."""
+    return sharedspans.coverage(_p4_texts(spark, d), "rec", "text", P4_LEAST)
+
+
 def p5_mapping(spark: SparkSession, d: str) -> DataFrame:
     """Each typed city with the entry it means; without one, city_id is -1."""
     found = canonical.canonical(table(spark, d, "sermons"), "city", table(spark, d, "ref_cities"), "city_id", "city_name", "area", "alt_names")
@@ -113,6 +138,9 @@ QUERIES = {
     "p2_versions": p2_versions,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_spans": p4_spans,
+    "p4_shared": p4_shared,
     "p5_found": p5_found,
     "p5_mapping": p5_mapping,
     "p6_found": p6_found,
@@ -142,5 +170,11 @@ join n na on na.ord = a join n nb on nb.ord = b where k >= 0.75 * (na.n + nb.n -
     "p3_found": """
 select distinct 'library' as tab, cast(ord as varchar) as rec_key from library where length(text) > 8000
 union all select distinct 'paragraphs', cast(id as varchar) from paragraphs where length(content) > 1000""",
+    "p4_found": """
+with r as (
+  select distinct 'p' || id as rec, content as t from paragraphs where length(content) >= 150
+  union select distinct 'c' || id, quoted_text from citations where length(quoted_text) >= 150),
+g as (select distinct rec, md5(t[s : s + 149]) as h from r, unnest(generate_series(1, length(t) - 149)) u(s))
+select distinct x.rec as rec_a, y.rec as rec_b from g x join g y on x.h = y.h and x.rec < y.rec""",
     "p8_found": _P8 + "select distinct doc_id, item_id from dr join ir using (r)",
 }
