@@ -55,7 +55,7 @@ class Shingles:
 
 
 def shingles(df: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
-    """(id, tokens): of each row the sorted distinct hashes of its sequences of `words` words.
+    """(id, rep, n, tokens): of each row the n sorted distinct hashes of its sequences of `words` words, and a hash of them all.
 
     Words are runs of letters or digits in lower case. Texts of fewer words, null and empty ones
     give no row. Rows that repeat a key come out as they are.
@@ -74,20 +74,15 @@ def shingles(df: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
                 made = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), made], names=["id", "tokens"]).filter(keep)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select("id", F.xxhash64("tokens").alias("rep"), F.size("tokens").alias("n"), "tokens")
 
 
-def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, representatives): (id, rep) of every record, and (id, n, tokens) of one record of each distinct set.
+def classes(sets: DataFrame) -> DataFrame:
+    """(id, rep) of every record: rep, a 64-bit hash of its token set, stands for all records with that set.
 
-    The representative has the smallest id. Groups of copies may be of any size: only ids are
-    joined, and nothing is gathered.
+    Groups of copies may be of any size: nothing of them is gathered.
     """
-    marks = sets.select("id", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("h1"), F.hash(F.lit(17), "tokens").alias("h2"))
-    rep = marks.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    members = marks.join(rep, ["n", "h1", "h2"]).select("id", "rep").distinct()
-    kept = sets.join(rep.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    return members, kept.select("id", F.size("tokens").alias("n"), "tokens").dropDuplicates(["id"])
+    return sets.select("id", "rep").distinct()
 
 
 def _least(n, threshold: float):
@@ -95,61 +90,61 @@ def _least(n, threshold: float):
     return F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
 
 
-def similar(reps: DataFrame, threshold: float = 0.8, group: int = GROUP) -> DataFrame:
-    """(a, b, overlap, similarity): all pairs a < b of representatives whose sets have a Jaccard similarity of at least threshold.
+def lookup_tokens(sets: DataFrame, threshold: float) -> DataFrame:
+    """(rep, n, t): for each distinct set the tokens it is looked up by; sets that can have no partner are left out.
 
-    reps is (id, n, tokens) with distinct ids and sets.
+    A partner shares at least `need` tokens. A set with fewer that stand in another set too has
+    none; of those of the others, the most frequent need - 1 are passed over: the rarest token
+    that two similar sets share is never among them, on either side. So tokens that stand all over
+    the corpus are hardly looked up.
     """
-    tokens = reps.select("id", "n", F.explode("tokens").alias("t"))
-    df = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
-    # tokens of one record only match nothing; a record with too few others has no partner
-    shared = (
-        tokens.join(df, "t")
-        .groupBy("id", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("s"))
-        .withColumn("least", _least(F.col("n"), threshold))
-        .filter(F.size("s") >= F.col("least"))
-        # of the rarest n - least + 1 tokens, any partner has one; those of one record only come first
-        .select("id", "n", "least", F.col("s.t").alias("s"), F.expr("slice(s.t, 1, greatest(size(s) - least + 1, 0))").alias("prefix"))
-        .filter(F.size("prefix") > 0)
-    )
-    shared = materialize(shared)
-    # groups: the same rarest token and about the same size, split to about `group` members
+    each = sets.select("rep", F.explode("tokens").alias("t"))
+    df = each.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
+    held = each.join(df, "t").groupBy("rep").agg(F.collect_list(F.struct("df", "t")).alias("s"))
+    held = held.join(sets.select("rep", "n"), "rep").withColumn("need", _least(F.col("n"), threshold)).filter(F.size("s") >= F.col("need"))
+    held = held.withColumn("t", F.slice(F.array_sort("s"), F.lit(1), F.greatest(F.size("s") - F.col("need") + 1, F.lit(0))).getField("t"))
+    return held.select("rep", "n", F.explode("t").alias("t"))
+
+
+def similar(sets: DataFrame, threshold: float = 0.8, group: int = GROUP) -> DataFrame:
+    """(a, b, overlap, similarity): all pairs of distinct token sets with a Jaccard similarity of at least threshold.
+
+    sets is (rep, n, tokens), each set once.
+    """
+    n = F.col("n")
+    asked = materialize(lookup_tokens(sets, threshold))
+    # groups: the same first token and about the same size, split to about `group` members
     base = F.log(F.lit(1 / threshold))
-    member = shared.select("id", "n", F.element_at("prefix", 1).alias("seed"), F.floor(F.log("n") / base).alias("band"))
-    size = member.groupBy("seed", "band").agg(F.count("*").alias("k"))
-    member = member.join(size, ["seed", "band"]).select("id", "n", F.xxhash64("seed", "band", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / group))).alias("gid"))
+    seeds = asked.groupBy("rep", "n").agg(F.min("t").alias("seed")).withColumn("band", F.floor(F.log("n") / base))
+    size = seeds.groupBy("seed", "band").agg(F.count("*").alias("k"))
+    member = seeds.join(size, ["seed", "band"]).select("rep", "n", F.xxhash64("seed", "band", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / group))).alias("gid"))
     member = materialize(member)
-    whole = member.select("id", "gid").join(shared.select("id", "n", "s", "prefix"), "id")
-    groups = whole.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.array_distinct(F.flatten(F.collect_list("s"))).alias("union"))
-    matrix = whole.select("gid", F.explode("prefix").alias("t")).distinct()
-    asked = shared.select("id", "n", F.explode("prefix").alias("t"))
-    met = asked.join(matrix, "t").select("id", "gid").distinct()
-    bounded = (
-        met.join(groups, "gid")
-        .join(shared.select("id", "n", "least", "s"), "id")
-        .filter((F.col("hi") >= F.col("least")) & (F.col("lo") * F.lit(threshold) <= F.col("n") + F.lit(1e-9)))
-        .filter(F.size(F.array_intersect("s", "union")) >= F.col("least"))
-        .select(F.col("id").alias("a"), "gid")
-    )
-    opened = bounded.join(member.select("gid", F.col("id").alias("b")), "gid").filter("a < b").select("a", "b")
-    left = shared.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    right = shared.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    both = opened.join(left, "a").join(right, "b")
-    both = both.filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-9))
+    shape = member.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rep").alias("top"))
+    matrix = asked.join(member.select("rep", "gid"), "rep").select("t", "gid").distinct()
+    # a pair is looked for from its smaller side; sizes too far apart, or no larger member, open no group
+    met = asked.join(matrix, "t").select("rep", "n", "gid").distinct().join(shape, "gid")
+    met = met.filter((F.col("top") > F.col("rep")) & (F.col("hi") >= _least(n, threshold)) & (F.col("lo") * F.lit(threshold) <= n + F.lit(1e-9)))
+    met = materialize(met.select("rep", "n", "gid"))
+    full = materialize(sets.select("rep", "tokens").join(member.select("rep"), "rep", "left_semi"))
+    # the token unions of the groups that are met, about `group` sets each
+    union = member.join(met.select("gid").distinct(), "gid", "left_semi").join(full, "rep").groupBy("gid").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
+    bound = met.join(full, "rep").join(union, "gid").filter(F.size(F.array_intersect("tokens", "union")) >= _least(n, threshold))
+    opened = bound.select(F.col("rep").alias("a"), F.col("n").alias("na"), "gid").join(member.select("gid", F.col("rep").alias("b"), F.col("n").alias("nb")), "gid")
+    opened = opened.filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-9)))
+    both = opened.join(full.select(F.col("rep").alias("a"), F.col("tokens").alias("sa")), "a").join(full.select(F.col("rep").alias("b"), F.col("tokens").alias("sb")), "b")
     counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("overlap"))
-    return counted.withColumn("similarity", F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).filter(F.col("similarity") >= threshold).select("a", "b", "overlap", "similarity")
+    return counted.withColumn("similarity", F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).filter(F.col("similarity") >= threshold).select("a", "b", "overlap", "similarity").distinct()
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of representatives carried over to all records, and the copies of a record with each other."""
+    """(a, b), a < b: the pairs of sets carried over to all records, and the copies of a record with each other."""
     one = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
     two = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
     across = pairs.select("a", "b").join(one, "a").join(two, "b").select("x", "y")
     several = members.groupBy("rep").agg(F.count("*").alias("k")).filter("k > 1").select("rep")
     own = members.join(several, "rep", "left_semi")
-    within = own.select("rep", F.col("id").alias("x")).join(own.select("rep", F.col("id").alias("y")), "rep").filter("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    within = own.select("rep", F.col("id").alias("x")).join(own.select("rep", F.col("id").alias("y")), "rep").select("x", "y")
+    return across.unionByName(within).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -177,27 +172,32 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return star.unionByName(star.select(F.col("component").alias("id"), "component").distinct())
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8, least_words: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs) of the records of df: (id, rep), and the similar pairs of representatives.
+def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) of the records of df: (id, rep), and the similar pairs of different token sets.
 
-    Together they hold every link: two records are linked when their representatives are equal or
-    a pair. Null keys, null and empty texts and texts of fewer than `words` words take no part;
-    repeated rows count once; other columns are ignored; an empty table gives empty results.
+    Together they hold every link: two records are linked when their reps are equal or a pair.
+    Null keys, null and empty texts and texts of fewer than `words` words take no part; repeated
+    rows count once, and a key that stands with several texts is linked by each of them; other
+    columns are ignored; an empty table gives empty results.
     """
-    sets = shingles(df, key, text, words)
-    # a key that stands with several texts is the record of the smallest set of hashes
-    sets = materialize(sets.groupBy("id").agg(F.min("tokens").alias("tokens")))
-    members, reps = classes(sets)
-    return members, similar(reps, threshold)
+    sets = materialize(shingles(df, key, text, words))
+    members = classes(sets)
+    # one row of each set, found by ids alone
+    once = members.groupBy("rep").agg(F.min("id").alias("id"))
+    distinct = materialize(sets.join(once, ["rep", "id"], "left_semi").select("rep", "n", "tokens").dropDuplicates(["rep"]))
+    return members, similar(distinct, threshold)
 
 
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, group_id, n_links): one row a record that is linked to another; group_id is the smallest id of its group."""
-    pairs = materialize(pairs.select("a", "b"))
-    size = members.groupBy("rep").agg(F.count("*").alias("k"))
+    pairs, members = materialize(pairs.select("a", "b")), materialize(members)
+    size = members.groupBy("rep").agg(F.count("*").alias("k"), F.min("id").alias("least_id"))
     ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("o")))
     links = ends.join(size.select(F.col("rep").alias("o"), F.col("k").alias("ko")), "o").groupBy("rep").agg(F.sum("ko").alias("across"))
     comp = components(pairs).select(F.col("id").alias("rep"), "component")
-    out = members.join(size, "rep").join(links, "rep", "left").join(comp, "rep", "left")
+    known = size.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    group_id = known.groupBy("component").agg(F.min("least_id").alias("group_id"))
+    known = known.join(group_id, "component").join(links, "rep", "left")
     n = F.col("k") - 1 + F.coalesce("across", F.lit(0))
-    return out.filter(n > 0).select("id", F.coalesce("component", "rep").alias("group_id"), n.alias("n_links"))
+    out = members.join(known, "rep").filter(n > 0).select("id", "group_id", n.alias("n_links"))
+    return out.groupBy("id").agg(F.min("group_id").alias("group_id"), F.sum("n_links").alias("n_links"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import canonical, encoding, leakage, lookalikes, neardup, sharedspans, splitting
+from quire.llm import abuse, canonical, encoding, leakage, lookalikes, neardup, sharedspans, splitting
 from quire.session import table
 
 
@@ -132,6 +132,22 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document, by a machine fitted on the labelled ones."""
+    documents = table(spark, d, "documents")
+    return abuse.score(documents, abuse.train(documents, table(spark, d, "labels")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexual passage."""
+    return p9_scores(spark, d).filter("abusive").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of such documents per source."""
+    return abuse.rates(p9_scores(spark, d), table(spark, d, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
@@ -148,6 +164,9 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 
 _P8 = r"""
