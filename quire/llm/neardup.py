@@ -24,6 +24,8 @@ from quire.session import materialize
 
 #: Members of a group, about.
 GROUP = 64
+#: Part of a set's tokens that are looked up beyond the least, so that several must be shared.
+SEVERAL = 0.05
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 500_000
 
@@ -90,19 +92,25 @@ def _least(n, threshold: float):
     return F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
 
 
+def _several(n):
+    """Shared lookup tokens that two similar sets have at least, by the size of the smaller one."""
+    return F.greatest(F.lit(1), F.floor(n * F.lit(SEVERAL)).cast("int"))
+
+
 def lookup_tokens(sets: DataFrame, threshold: float) -> DataFrame:
     """(rep, n, t): for each distinct set the tokens it is looked up by; sets that can have no partner are left out.
 
     A partner shares at least `need` tokens. A set with fewer that stand in another set too has
-    none; of those of the others, the most frequent need - 1 are passed over: the rarest token
-    that two similar sets share is never among them, on either side. So tokens that stand all over
-    the corpus are hardly looked up.
+    none; of those of the others, the most frequent need - k are passed over, k growing with the
+    set: the k rarest tokens that two similar sets share are never among them, on either side. So
+    tokens that stand all over the corpus are hardly looked up, and sets that share less than k of
+    the others needn't be compared.
     """
     each = sets.select("rep", F.explode("tokens").alias("t"))
     df = each.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
     held = each.join(df, "t").groupBy("rep").agg(F.collect_list(F.struct("df", "t")).alias("s"))
     held = held.join(sets.select("rep", "n"), "rep").withColumn("need", _least(F.col("n"), threshold)).filter(F.size("s") >= F.col("need"))
-    held = held.withColumn("t", F.slice(F.array_sort("s"), F.lit(1), F.greatest(F.size("s") - F.col("need") + 1, F.lit(0))).getField("t"))
+    held = held.withColumn("t", F.slice(F.array_sort("s"), F.lit(1), F.greatest(F.size("s") - F.col("need") + _several(F.col("n")), F.lit(0))).getField("t"))
     return held.select("rep", "n", F.explode("t").alias("t"))
 
 
@@ -119,12 +127,13 @@ def similar(sets: DataFrame, threshold: float = 0.8, group: int = GROUP) -> Data
     size = seeds.groupBy("seed", "band").agg(F.count("*").alias("k"))
     member = seeds.join(size, ["seed", "band"]).select("rep", "n", F.xxhash64("seed", "band", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / group))).alias("gid"))
     member = materialize(member)
-    shape = member.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rep").alias("top"))
-    matrix = asked.join(member.select("rep", "gid"), "rep").select("t", "gid").distinct()
-    # a pair is looked for from its smaller side; sizes too far apart, or no larger member, open no group
-    met = asked.join(matrix, "t").select("rep", "n", "gid").distinct().join(shape, "gid")
-    met = met.filter((F.col("top") > F.col("rep")) & (F.col("hi") >= _least(n, threshold)) & (F.col("lo") * F.lit(threshold) <= n + F.lit(1e-9)))
-    met = materialize(met.select("rep", "n", "gid"))
+    shape = member.groupBy("gid").agg(F.min("n").cast("int").alias("lo"), F.max("n").cast("int").alias("hi"), F.max("rep").alias("top"))
+    placed = member.select("rep", "gid").join(shape, "gid")
+    matrix = asked.select("rep", "t").join(placed, "rep").select("t", "gid", "lo", "hi", "top").distinct()
+    # a pair is looked for from the smaller rep; sizes too far apart, or no larger member, meet no group
+    apart = (F.col("top") > F.col("rep")) & (F.col("hi") >= _least(n, threshold)) & (F.col("lo") * F.lit(threshold) <= n + F.lit(1e-9))
+    met = asked.join(matrix, "t").filter(apart).groupBy("rep", "n", "gid").agg(F.count("*").alias("k"))
+    met = materialize(met.filter(F.col("k") >= _several(_least(n, threshold))).select("rep", "n", "gid"))
     full = materialize(sets.select("rep", "tokens").join(member.select("rep"), "rep", "left_semi"))
     # the token unions of the groups that are met, about `group` sets each
     union = member.join(met.select("gid").distinct(), "gid", "left_semi").join(full, "rep").groupBy("gid").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
