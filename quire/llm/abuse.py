@@ -170,35 +170,47 @@ class Model:
 
 
 class _Text:
-    """All subsequences of a labelled text with the words they begin at."""
+    """A labelled text: the numbers of its words, and its word sequences by the words they begin at."""
 
     def __init__(self, words: list[str], known: Words):
-        number = known(words)
-        h = np.array(known.hash, np.uint64)[number]
-        at, place, weight = [], [], []
-        for p, w in word_sequences(h):
-            at.append(np.arange(len(p)))
-            place.append(p)
-            weight.append(np.full(len(p), w))
-        own = [known.letters[i] for i in number]
-        at.append(np.repeat(np.arange(len(own)), [len(p) for p, _ in own]))
-        place += [p for p, _ in own]
-        weight += [w for _, w in own]
+        self.number = known(words).astype(np.int32)
+        self.known = known
         self.n = len(words)
-        self.at = np.concatenate(at).astype(np.int32)
-        self.place = np.concatenate(place).astype(np.int32)
-        self.weight = np.concatenate(weight).astype(np.float32)
-
-    def best(self, table: np.ndarray) -> tuple[int, float]:
-        run = np.concatenate([[0.0], np.cumsum(np.bincount(self.at, table[self.place] * self.weight, self.n))])
+        self.kinds = [(p.astype(np.int32), w) for p, w in word_sequences(np.array(known.hash, np.uint64)[self.number])]
+
+    def places(self) -> np.ndarray:
+        """All different places of its subsequences."""
+        own = [self.known.letters[i][0] for i in np.unique(self.number)]
+        return np.unique(np.concatenate([*own, *[p for p, _ in self.kinds]]))
+
+    def best(self, table: np.ndarray, of_words: np.ndarray) -> tuple[int, float]:
+        """The first word and the score of the passage that scores highest."""
+        s = of_words[self.number]
+        for place, weight in self.kinds:
+            s[: len(place)] += table[place] * weight
+        run = np.zeros(self.n + 1)
+        np.cumsum(s, out=run[1:])
         s = run[np.minimum(np.arange(self.n) + PASSAGE, self.n)] - run[:-1]
         k = int(np.argmax(s))
         return k, float(s[k])
 
     def passage(self, k: int, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        inside = (self.at >= k) & (self.at < k + PASSAGE)
-        place, back = np.unique(self.place[inside], return_inverse=True)
-        return place, np.bincount(back, self.weight[inside]) * rarity[place]
+        """(places, weights) of the subsequences that begin in a passage."""
+        own = [self.known.letters[i] for i in self.number[k : k + PASSAGE]]
+        parts = [(p[k : k + PASSAGE], w) for p, w in self.kinds]
+        place = np.concatenate([*[p for p, _ in own], *[p for p, _ in parts]])
+        weight = np.concatenate([*[w for _, w in own], *[np.full(len(p), w) for p, w in parts]])
+        counts = rarity[place] > 0
+        place, back = np.unique(place[counts], return_inverse=True)
+        return place, (np.bincount(back, weight[counts], len(place)) * rarity[place]).astype(np.float32)
+
+
+def _of_words(known: Words, table: np.ndarray) -> np.ndarray:
+    """The score of each known word's letters."""
+    place = np.concatenate([p for p, _ in known.letters])
+    weight = np.concatenate([w for _, w in known.letters])
+    at = np.cumsum([0, *[len(p) for p, _ in known.letters]])[:-1]
+    return np.add.reduceat(table[place] * weight, at)
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
@@ -219,8 +231,9 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
     unseen: tuple[list[float], list[float]] = ([], [])
     for k in (0, 1):
         t, b = _fit(pos[k::2], neg[k::2], rng)
+        of_words = _of_words(known, t)
         for part, scores in zip((pos, neg), unseen):
-            scores += [x.best(t)[1] + b for x in part[1 - k :: 2]]
+            scores += [x.best(t, of_words)[1] + b for x in part[1 - k :: 2]]
     cut = _threshold(np.array([*unseen[0], *unseen[1]]), len(pos))
     return Model(table.astype(np.float32), bias - cut, len(made))
 
@@ -231,7 +244,7 @@ def _fit(pos: list[_Text], neg: list[_Text], rng: np.random.Generator) -> tuple[
     in_pos, in_neg = np.zeros(size), np.zeros(size)
     for part, count in ((pos, in_pos), (neg, in_neg)):
         for t in part:
-            count[np.unique(t.place)] += 1
+            count[t.places()] += 1
     seen = in_pos + in_neg
     n = len(pos) + len(neg)
     # rare subsequences weigh more in the kernel; those of a single text tell nothing of others
@@ -244,8 +257,9 @@ def _fit(pos: list[_Text], neg: list[_Text], rng: np.random.Generator) -> tuple[
     against: list[tuple[_Text, int]] = []
     bias = 0.0
     for _ in range(ROUNDS):
-        good = [(t, t.best(table)[0]) for t in pos]
-        hard = [(t, t.best(table)[0]) for t in neg]
+        of_words = _of_words(pos[0].known, table)
+        good = [(t, t.best(table, of_words)[0]) for t in pos]
+        hard = [(t, t.best(table, of_words)[0]) for t in neg]
         some = [(neg[i], int(rng.integers(0, max(1, neg[i].n - PASSAGE + 1)))) for i in rng.permutation(len(neg))[:1500]]
         against = list({(id(t), k): (t, k) for t, k in [*against, *some, *hard]}.values())[-MOST_AGAINST:]
         x = [t.passage(k, rarity) for t, k in [*good, *against]]
@@ -267,17 +281,18 @@ def _machine(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_good: int,
     for i, (place, weight) in enumerate(x):
         at = np.minimum(np.searchsorted(held, place), len(held) - 1)
         ok = held[at] == place
-        k[i] = weight[ok].astype(np.float32) @ z[at[ok]]
+        k[i] = weight[ok] @ z[at[ok]]
     value, vector = np.linalg.eigh((z.T @ z).astype(np.float64))
     root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-    phi = np.concatenate([k @ root, np.ones((len(x), 1))], axis=1)
+    phi = np.concatenate([k @ root.astype(np.float32), np.ones((len(x), 1), np.float32)], axis=1)
+    del k
     cost = np.where(y > 0, COST * WEIGHT, COST)
     ridge = np.diag([1.0] * len(chosen) + [1e-6])
     w = np.zeros(phi.shape[1])
     for _ in range(40):
         inside = 1 - y * (phi @ w) > 0
-        part = phi[inside] * cost[inside, None]
-        new = np.linalg.solve(part.T @ phi[inside] + ridge, part.T @ y[inside])
+        part = phi[inside] * np.sqrt(cost[inside, None]).astype(np.float32)
+        new = np.linalg.solve((part.T @ part).astype(np.float64) + ridge, phi[inside].T.astype(np.float64) @ (cost * y)[inside])
         moved = np.abs(new - w).max()
         w = new
         if moved < 1e-6:

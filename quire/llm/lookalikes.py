@@ -45,7 +45,7 @@ def _ordinary(ch: str, kind: str) -> str:
     """The ordinary form of a character: width, font and ligature forms resolved, canonical singles replaced."""
     if kind == "Zs":
         return " "
-    if ch == "‑":
+    if ch == "\u2011":
         return "-"
     tag = unicodedata.decomposition(ch).partition(" ")[0]
     if tag in ("<wide>", "<narrow>"):
@@ -95,7 +95,7 @@ def tables() -> dict[str, np.ndarray]:
                 else:
                     f |= EXPAND
                     longer[c] = form
-                if form[0].isalpha() and form[0] < "ɐ":
+                if form[0].isalpha() and form[0] < "\u0250":
                     f |= LATIN
             apart = unicodedata.normalize("NFD", ch)
             if apart != ch and not 0xAC00 <= c < 0xD7A4:

@@ -79,7 +79,7 @@ def valleys(text: str, at: np.ndarray, block: int = BLOCK) -> np.ndarray:
 
 def _joined(text: str, p: int) -> bool:
     """Whether a cut before character p would part a character from its marks."""
-    return 0 < p < len(text) and (unicodedata.combining(text[p]) > 0 or text[p] in "‍️" or text[p - 1] == "‍")
+    return 0 < p < len(text) and (unicodedata.combining(text[p]) > 0 or text[p] in "\u200d\ufe0f" or text[p - 1] == "\u200d")
 
 
 def split(text: str | None, limit: int, overlap: int, block: int = BLOCK) -> list[tuple[int, int, int]]:
