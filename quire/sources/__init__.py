@@ -1 +1 @@
-
+"""Reading and writing libraries, notes and results."""
