@@ -144,7 +144,7 @@ def match_structs(col: Column, pattern: str) -> Column:
 def last_sentence(col: Column, longer_than: int = 150) -> Column:
     """The last sentence of a text longer than that; else the whole."""
     found = F.regexp_extract_all(col, F.lit("[^.!?]+[.!?]+"), F.lit(0))
-    last = js_trim(F.element_at(found, -1))
+    last = js_trim(F.try_element_at(found, F.lit(-1)))
     return F.when((F.length(col) > longer_than) & (F.size(found) > 0) & (last != ""), last).otherwise(col)
 
 

@@ -133,7 +133,7 @@ def fts_snippet(content: Column, terms: list[str], size: int = 96, opening: str
     """
     words = F.split(content, f"[{X.WS}]+", -1)
     is_hit = lambda w: F.exists(X.fts_tokens(w), lambda t: _any([t.startswith(x) for x in terms]))
-    at = F.coalesce(F.element_at(F.filter(F.transform(words, lambda w, i: F.when(is_hit(w), i)), lambda i: i.isNotNull()), 1), F.lit(0))
+    at = F.coalesce(F.try_element_at(F.filter(F.transform(words, lambda w, i: F.when(is_hit(w), i)), lambda i: i.isNotNull()), F.lit(1)), F.lit(0))
     at = F.when(F.size(words) == 0, F.lit(0)).otherwise(at)
     lo = F.greatest(F.lit(0), F.least(at - (size // 2 - 1), F.size(words) - size))
     shown = F.transform(F.slice(words, lo + 1, F.lit(size)), lambda w: F.when(is_hit(w), F.concat(F.lit(opening), w, F.lit(closing))).otherwise(w))
