@@ -193,7 +193,7 @@ def _compose(cp: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> tuple
     heads = np.flatnonzero(head)
     busy = np.unique(run[np.flatnonzero(mark)])
     sel = ranges(heads[busy], np.append(heads[1:], len(cp))[busy] - heads[busy])
-    order = sel[np.lexsort((np.where(head[sel], 0, ccc[sel]), run[sel]))]
+    order = sel[np.lexsort((ccc[sel], run[sel]))]
     cp = cp.copy()
     cp[sel] = cp[order]
     ccc = t["ccc"][cp]
