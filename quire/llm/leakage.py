@@ -25,11 +25,13 @@ from quire.llm.codepoints import ranges, text_array
 LEAST = 12
 #: Words of an index term.
 GRAM = 3
-#: Items of a block of the index.
-BLOCK = 16
+#: Items of a block of the index, at least, and blocks of an index, at most.
+BLOCK, BLOCKS = 16, 32
 #: Queries whose block bounds are held at once.
 AT_ONCE = 1 << 15
-#: More items than this are refused: the index is broadcast.
+#: Items of one broadcast index; more items are searched for in as many passes over the corpus as they fill indexes.
+INDEXED = 5_000
+#: More items than this are refused: they pass through the driver.
 MOST_ITEMS = 200_000
 K1, B = 1.2, 0.75
 
@@ -87,7 +89,7 @@ class Index:
             post_item.append(np.full(len(w), i))
             post_value.append(value / max(least_score, 1e-12))
         w, i, value = map(np.concatenate, (post_word, post_item, post_value))
-        self.block_of = np.arange(n) // block
+        self.block_of = np.arange(n) // max(block, -(-n // BLOCKS))
         self.blocks = int(self.block_of[-1]) + 1
         order = np.lexsort((i, w))
         # postings by term: item numbers and impacts
@@ -225,18 +227,32 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
     """(key, item, n_words): each corpus row with each item that it shares `least` words in a row with.
 
     Words are runs of letters or digits without case and accents. n_words counts the words of the
-    row that lie in such shared runs. The items are fetched to the driver and broadcast, at most
-    MOST_ITEMS of them; more raise ValueError. Null and empty texts and items of fewer words hold
-    no leak. Repeated corpus rows come out repeated; ties and other columns change nothing. One
-    pass over the corpus, no shuffle.
+    row that lie in such shared runs. The items are fetched to the driver and broadcast in indexes
+    of INDEXED items; more than MOST_ITEMS raise ValueError. Null and empty texts and items of
+    fewer words hold no leak. Repeated corpus rows come out repeated; ties and other columns change
+    nothing. One pass over the corpus for each index, no shuffle.
     """
     held = items.select(f"`{item}`", f"`{item_text}`").filter(f"`{item}` is not null").distinct().limit(MOST_ITEMS + 1).collect()
     if len(held) > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} items")
-    index = Index([(r[0], r[1]) for r in held], least)
+    rows = sorted(((r[0], r[1]) for r in held), key=lambda r: str(r[0]))
+    # an item is whole within one index
+    cuts = [0]
+    for i in range(1, len(rows)):
+        if i - cuts[-1] >= INDEXED and rows[i][0] != rows[i - 1][0]:
+            cuts.append(i)
+    parts = [_search(df, Index(rows[x:y], least), items.schema[item].dataType, key, text, item) for x, y in zip(cuts, [*cuts[1:], len(rows)])]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _search(df: DataFrame, index: Index, kind: T.DataType, key: str, text: str, item: str) -> DataFrame:
+    """One pass over the corpus with one index."""
     shared = df.sparkSession.sparkContext.broadcast(index)
     source = df.select(f"`{key}`", f"`{text}`")
-    schema = T.StructType([T.StructField(key, source.schema[0].dataType), T.StructField(item, items.schema[item].dataType), T.StructField("n_words", T.LongType())])
+    schema = T.StructType([T.StructField(key, source.schema[0].dataType), T.StructField(item, kind), T.StructField("n_words", T.LongType())])
     kinds = [pa.field(f.name, k) for f, k in zip(schema.fields, _arrow(schema))]
 
     def run(batches):

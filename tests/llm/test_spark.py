@@ -208,7 +208,7 @@ def test_ids_round_trip(spark):
     assert rows(encoding.encode(df), "id", "ids") == rows(got, "id", "ids") and encoding.encode(df.limit(0)).count() == 0
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     rng = random.Random(2)
     items = [(i, said(rng, 40)) for i in range(20)] + [(90, None), (91, "too short"), (0, None)]
     docs = [(i, said(rng, 30) + " " + " ".join(items[i % 20][1].split()[5 : 5 + n]).upper() + ". " + said(rng, 30), "z") for i, n in enumerate([12, 11, 20, 40, 0, 12])] + [(50, None, ""), (51, "", ""), (3, None, "")]
@@ -221,6 +221,8 @@ def test_leaks(spark):
         return {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
 
     assert got == sorted((a, b) for a, x, _ in docs for b, y in items if grams(x) & grams(y)) and (1, 1) not in got and (0, 0) in got
+    monkeypatch.setattr(leakage, "INDEXED", 3)
+    assert rows(leakage.leaks(d, it).filter("doc_id < 6"), "doc_id", "item_id") == got
     assert leakage.leaks(d.limit(0), it).count() == 0 and leakage.leaks(d, it.limit(0)).count() == 0
 
 
