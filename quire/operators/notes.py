@@ -146,3 +146,34 @@ def export_text(nested: DataFrame) -> DataFrame:
     """(id, file_name, body): a note and its numbered citations as text."""
     lines = F.transform("citations", lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(c["quoted_text"], F.lit(""))))
     return nested.select("id", file_name(F.coalesce("title", F.lit(""))).alias("file_name"), F.array_join(F.concat(F.array(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))), lines), "\n").alias("body"))
+
+
+#: Colours of notes.
+COLORS = ("default", "red", "orange", "amber", "yellow", "lime", "green", "emerald", "teal", "cyan", "sky", "blue", "indigo", "violet", "purple", "fuchsia", "pink", "rose")
+
+
+def new_notes(notes: DataFrame, drafts: DataFrame, now: str, color: str = "default") -> DataFrame:
+    """notes with drafts (id, title, content) added: created at `now`, an ISO time, after all others in order.
+
+    Only the number of notes is fetched.
+    """
+    n = notes.select("id").distinct().count()
+    added = drafts.select("id", X.or_default(F.col("title"), "").alias("title"), X.or_default(F.col("content"), "").alias("content"), F.lit(color).alias("color"), F.lit(now).alias("creation_date"), F.lit(now[:10]).alias("note_date"))
+    placed = positions(added.withColumn("note_order", F.lit(0)))
+    return notes.unionByName(added.join(placed, "id").withColumn("note_order", (F.col("position") + n).cast("int")).select(*notes.columns))
+
+
+def definition_source(word: Column) -> Column:
+    """The source id of a citation of a dictionary entry."""
+    return F.concat(F.lit("definition-"), word)
+
+
+def answer_source(milliseconds: Column) -> Column:
+    """The source id of a citation of an assistant's answer."""
+    return F.concat(F.lit("ia-"), milliseconds.cast("string"))
+
+
+def citations_of(citations: DataFrame, doc_id: str, note_id: str | None = None) -> DataFrame:
+    """The citations of one document, of one note or of all."""
+    found = citations.filter(F.col("sermon_id") == doc_id)
+    return found if note_id is None else found.filter(F.col("note_id") == note_id)

@@ -144,3 +144,27 @@ def quote_locations(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     pieces = F.split(F.col("body"), F.concat(F.lit("\\Q"), F.replace("quote", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
     ends = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * F.length("quote"))
     return both.select("quote_id", "doc_id", F.explode(ends).alias("start")).select("quote_id", "doc_id", F.col("start").cast("long").alias("start"))
+
+
+def quote_spans(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(quote_id, doc_id, start, end) of every place of the quotes in the glued texts of their documents."""
+    size = quotes.select("quote_id", "doc_id", F.length("quote").alias("_n")).distinct()
+    found = quote_locations(docs, quotes).join(size, ["quote_id", "doc_id"])
+    return found.select("quote_id", "doc_id", "start", (F.col("start") + F.col("_n")).alias("end"))
+
+
+def citation_colours(docs: DataFrame, toks: DataFrame, citations: DataFrame, notes: DataFrame, default: str = "default") -> DataFrame:
+    """(note_id, doc_id, global_index, color): the tokens that the citations of each note cover, in the note's colour.
+
+    toks has offsets. A citation's text is looked for in its document word for word.
+    """
+    held = citations.filter(X.given(F.col("quoted_text"))).select("note_id", F.col("id").alias("quote_id"), F.col("sermon_id").alias("doc_id"), F.col("quoted_text").alias("quote"))
+    covered = overlaps(toks, quote_spans(docs, held)).select("doc_id", "quote_id", "global_index")
+    colour = notes.groupBy(F.col("id").alias("note_id")).agg(F.min(X.or_default(F.col("color"), default)).alias("color"))
+    return covered.join(held.select("quote_id", "note_id").distinct(), "quote_id").join(colour, "note_id").select("note_id", "doc_id", "global_index", "color").distinct()
+
+
+def first_quote_tokens(docs: DataFrame, toks: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(quote_id, doc_id, global_index): the tokens of the first place of each quote."""
+    first = quote_spans(docs, quotes).groupBy("quote_id", "doc_id").agg(F.min("start").alias("start"), F.min("end").alias("end"))
+    return overlaps(toks, first).select("quote_id", "doc_id", "global_index")

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 from quire.operators import context as C
 from quire.operators import ingest as I
+from quire.operators import facets as A
 from quire.operators import notes as N
-from quire.plans.corpus import DOCS, PARAS, documents, q, sql_norm, sql_trim
+from quire.operators import router as R
+from quire.operators import search as S
+from quire.operators import spans as P
+from quire.plans.corpus import DOCS, PARAS, STORED, SYNONYMS, documents, q, sql_fts, sql_holds, sql_norm, sql_search, sql_starts, sql_trim, stored_rebuild
 from quire.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,3 +306,100 @@ def definition_lookup(spark, d):
     held = spark.createDataFrame(_DICTIONARY, "word string, definition string, synonyms array<string>, etymology string, seq long")
     found = C.definitions(words, held)
     return found.select("word", C.definition_text(F.col("word"), F.col("definition"), F.col("etymology"), F.col("synonyms")).alias("body"))
+
+
+# ---- look-ups, routing, covered tokens
+
+KEY = "57-0000-recueil"
+
+
+@query(f"{'with ' + STORED} select doc_id, length(text) as n_chars from st where doc_id = {q(KEY)}")
+def point_lookup(spark, d):
+    rows = table(spark, d, "paragraphs").filter(F.col("sermon_id") == KEY).select("sermon_id", "paragraph_index", "id", "content").filter("content is not null").distinct()
+    return I.rebuild(rows, "sermon_id").select(F.col("sermon_id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query("select distinct id, content from paragraphs where id = 17")
+def paragraph_content(spark, d):
+    return table(spark, d, "paragraphs").filter("id = 17").select("id", "content").distinct()
+
+
+def _routed(spark: SparkSession, d: str, request: R.Request) -> DataFrame:
+    docs = documents(spark, d)
+    return R.search(I.paragraphs(docs), docs, request, SYNONYMS).select("paragraph_id", "doc_id", "paragraph_index", "title", "sermon_date", "city")
+
+
+_SHOWN = "select paragraph_id, doc_id, paragraph_index, title, sermon_date, city from"
+
+
+@query(f"{_SHOWN} ({sql_search(sql_holds(['rocher', *S.synonyms_of(SYNONYMS, 'rocher')]), None)})")
+def route_scan_synonyms(spark, d):
+    return _routed(spark, d, R.Request("rocher", synonyms=True))
+
+
+@query(f"{_SHOWN} ({sql_fts(sql_starts(['lumiere']))})")
+def route_fts(spark, d):
+    return _routed(spark, d, R.Request("lumière", S.Mode.DIVERSE, engine="fts"))
+
+
+@query(f"{_SHOWN} ({sql_search(sql_holds(['umier']), None)})")
+def route_fallback(spark, d):
+    """Tokens don't find the middle of a word; the scan does."""
+    return _routed(spark, d, R.Request("umier", engine="auto"))
+
+
+@query("select cast(null as varchar) as paragraph_id, cast(null as varchar) as doc_id, cast(null as bigint) as paragraph_index, cast(null as varchar) as title, cast(null as varchar) as sermon_date, cast(null as varchar) as city where false")
+def route_short(spark, d):
+    return _routed(spark, d, R.Request("x"))
+
+
+_QUOTES = """quo as (select distinct id as quote_id, note_id, trim(sermon_id) as doc_id, quoted_text as quote from citations where quoted_text <> ''),
+body as (select doc_id, regexp_replace(text, {blank}, '', 'g') as b from st),
+cutq as (select quote_id, note_id, doc_id, quote, string_split(b, quote) as p from quo join body using (doc_id) where contains(b, quote)),
+place as (select quote_id, note_id, doc_id, list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * length(quote) as start, length(quote) as size from cutq, unnest(range(1, len(p))) u(k)),
+seg as (select doc_id, i as seg_no, string_split_regex(text, {blank})[i] as s from st, unnest(range(1, len(string_split_regex(text, {blank})) + 1)) u(i)),
+tk as (select doc_id, seg_no, regexp_extract_all(s, {token}) as t from seg),
+tl as (select doc_id, row_number() over (partition by doc_id order by seg_no, j) - 1 as g, t[j] as token from tk, unnest(range(1, len(t) + 1)) u(j)),
+tp as (select doc_id, g, sum(length(token)) over (partition by doc_id order by g) as e, length(token) as n from tl)""".replace("{blank}", q(X.BLANK_LINE)).replace("{token}", q(X.TOKEN))
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    return stored_rebuild(spark, d).withColumnRenamed("sermon_id", "doc_id")
+
+
+@query(f"""with {STORED}, {_QUOTES}, col as (select id as note_id, min(case when color <> '' then color else 'default' end) as color from notes group by 1)
+select distinct note_id, tp.doc_id, g as global_index, color from place join tp on tp.doc_id = place.doc_id and e > start and e - n < start + size join col using (note_id)""")
+def citation_colours(spark, d):
+    docs = _stored(spark, d)
+    own = citations(spark, d).withColumn("sermon_id", F.trim("sermon_id"))
+    return P.citation_colours(docs, P.with_offsets(P.tokens(docs)), own, notes(spark, d))
+
+
+@query(f"""with {STORED}, {_QUOTES}, one as (select quote_id, doc_id, min(start) as start, min(size) as size from place group by 1, 2)
+select quote_id, tp.doc_id, g as global_index from one join tp on tp.doc_id = one.doc_id and e > start and e - n < start + size""")
+def quote_first_tokens(spark, d):
+    docs = _stored(spark, d)
+    own = citations(spark, d).select(F.col("id").alias("quote_id"), F.trim("sermon_id").alias("doc_id"), F.col("quoted_text").alias("quote"))
+    return P.first_quote_tokens(docs, P.with_offsets(P.tokens(docs)), own)
+
+
+@query(f"with {NOTES}, k as (select count(distinct id) as c from n) select id, note_order, creation_date from n union all select 'new-' || i, c + i, '2030-01-02T03:04:05Z' from k, unnest(range(0, 3)) u(i)")
+def new_notes(spark, d):
+    drafts = spark.range(3).select(F.concat(F.lit("new-"), F.col("id").cast("string")).alias("id"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("content"))
+    return N.new_notes(notes(spark, d), drafts, "2030-01-02T03:04:05Z").select("id", "note_order", "creation_date")
+
+
+@query(f"with {CITES} select id, note_id from c where sermon_id = {q(KEY)}")
+def document_citations(spark, d):
+    return N.citations_of(citations(spark, d), KEY).select("id", "note_id")
+
+
+@query(f"with {DOCS} select doc_id from docs where city <> '' and version = 'TLV' and substr(sermon_date, 6, 2) = '04'")
+def facet_month_version(spark, d):
+    return A.filtered(documents(spark, d), month="04", version="TLV").filter(X.given(F.col("city"))).select("doc_id")
+
+
+@query("select distinct doc_id, n_chars, least(150.0, greatest(8.0, sqrt(n_chars))) as size from documents where n_chars is not null")
+def clamped_size(spark, d):
+    rows = table(spark, d, "documents").filter("n_chars is not null")
+    return rows.select("doc_id", "n_chars", X.clamp(F.sqrt("n_chars"), 8.0, 150.0).alias("size")).distinct()
