@@ -36,6 +36,11 @@ def _all(conditions: list[Column]) -> Column:
     return functools.reduce(operator.and_, conditions, F.lit(True))
 
 
+def _once(value: Column, condition) -> Column:
+    """condition of value, with value computed once a row however often the condition uses it."""
+    return F.exists(F.array(value), condition)
+
+
 def synonyms_of(dictionary: dict[str, list[str]], query: str) -> list[str]:
     """The first synonyms of a query of one word; none for more words or an unknown one."""
     words = query.split()
@@ -83,7 +88,7 @@ def scan(paragraphs: DataFrame, query: str, mode: Mode = Mode.EXACT_PHRASE, syno
     Texts are compared without case, accents and punctuation; words also match inside longer ones.
     Sorting and cutting is one top-k, and snippets are made for the page only.
     """
-    hit = scan_condition(X.norm(F.col("content")), query, mode, synonyms, only_synonyms, only_query)
+    hit = _once(X.norm(F.col("content")), lambda n: scan_condition(n, query, mode, synonyms, only_synonyms, only_query))
     return _shown(page(paragraphs.filter(hit), limit, offset), highlight_pattern(query, mode, synonyms, only_synonyms, only_query))
 
 
@@ -121,7 +126,7 @@ def fts(paragraphs: DataFrame, documents: DataFrame, query: str, mode: Mode = Mo
     paragraphs has doc_id, paragraph_id, paragraph_index, content; documents has doc_id, ord,
     title, sermon_date, city. Paragraphs are filtered before they meet their documents.
     """
-    hits = paragraphs.filter(fts_condition(X.fts_tokens(F.col("content")), query, mode, synonyms, only_synonyms))
+    hits = paragraphs.filter(_once(X.fts_tokens(F.col("content")), lambda t: fts_condition(t, query, mode, synonyms, only_synonyms)))
     joined = hits.join(documents.select("doc_id", "ord", "title", "sermon_date", "city"), "doc_id")
     return page(joined, limit, offset).select("paragraph_id", "doc_id", "paragraph_index", "content", "title", "sermon_date", "city")
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 
+#: Quotes that one copy of a document is searched for.
+QUOTES = 2_000
 #: Characters of a bin by which spans and tokens meet.
 BIN = 1024
 
@@ -136,14 +138,45 @@ def remove_highlight(highlights: Column, id_: str) -> Column:
 def quote_locations(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """(quote_id, doc_id, start): every place, counted from 0, where a quote stands in its document's glued text, word for word.
 
-    quotes has quote_id, doc_id, quote. Documents meet their quotes by key; places are found by
-    splitting at the quote, as many as the text allows.
+    quotes has quote_id, doc_id, quote. Documents meet their quotes by key, QUOTES of them at a
+    time, so a document that is quoted very often is spread over the tasks. A document is read
+    once for all quotes of a part, by an automaton of them, instead of once for each; places of
+    one quote don't overlap, the leftmost count.
     """
     q = quotes.filter(F.length("quote") > 0).select("quote_id", "doc_id", "quote").distinct()
-    both = q.join(docs.select("doc_id", glued(docs).alias("body")), "doc_id").filter(F.col("body").contains(F.col("quote")))
-    pieces = F.split(F.col("body"), F.concat(F.lit("\\Q"), F.replace("quote", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
-    ends = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * F.length("quote"))
-    return both.select("quote_id", "doc_id", F.explode(ends).alias("start")).select("quote_id", "doc_id", F.col("start").cast("long").alias("start"))
+    parts = q.groupBy("doc_id").agg(F.ceil(F.count("*") / QUOTES).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("quote_id", "quote"), F.col("parts")).cast("int")
+    # about QUOTES quotes a row
+    asked = q.join(parts, "doc_id").groupBy("doc_id", part.alias("part")).agg(F.collect_list(F.struct("quote_id", "quote")).alias("asked"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = asked.join(docs.select("doc_id", glued(docs).alias("body")), "doc_id").repartition(n, "doc_id", "part").select("doc_id", "body", "asked")
+    kinds = {f.name: f.dataType.simpleString() for f in quotes.schema}
+    return both.filter("body is not null").mapInArrow(_find_quotes, f"quote_id {kinds['quote_id']}, doc_id {kinds['doc_id']}, start bigint")
+
+
+def _find_quotes(batches):
+    import ahocorasick
+    import pyarrow as pa
+
+    for b in batches:
+        for k in range(b.num_rows):
+            doc_id, body, asked = (b.column(i)[k].as_py() for i in range(3))
+            ids: dict[str, list] = {}
+            for x in asked:
+                ids.setdefault(x["quote"], []).append(x["quote_id"])
+            machine = ahocorasick.Automaton()
+            for text in ids:
+                machine.add_word(text, text)
+            machine.make_automaton()
+            free: dict[str, int] = {}
+            out: list[tuple] = []
+            for end, text in machine.iter(body):
+                start = end - len(text) + 1
+                if start >= free.get(text, 0):
+                    free[text] = end + 1
+                    out += [(i, start) for i in ids[text]]
+            found = pa.array([i for i, _ in out], b.schema.field(2).type.value_type.field(0).type)
+            yield pa.RecordBatch.from_arrays([found, pa.array([doc_id] * len(out), b.schema.field(0).type), pa.array([s for _, s in out], pa.int64())], names=["quote_id", "doc_id", "start"])
 
 
 def quote_spans(docs: DataFrame, quotes: DataFrame) -> DataFrame:
