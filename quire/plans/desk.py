@@ -383,7 +383,7 @@ def quote_first_tokens(spark, d):
     return P.first_quote_tokens(docs, P.with_offsets(P.tokens(docs)), own)
 
 
-@query(f"with {NOTES}, k as (select count(distinct id) as c from n) select id, note_order, creation_date from n union all select 'new-' || i, c + i, '2030-01-02T03:04:05Z' from k, unnest(range(0, 3)) u(i)")
+@query(f"with {NOTES}, k as (select count(distinct id) as c from n) select id, note_order, creation_date from n union all select 'new-' || i, cast(c + i as integer), '2030-01-02T03:04:05Z' from k, unnest(range(0, 3)) u(i)")
 def new_notes(spark, d):
     drafts = spark.range(3).select(F.concat(F.lit("new-"), F.col("id").cast("string")).alias("id"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("content"))
     return N.new_notes(notes(spark, d), drafts, "2030-01-02T03:04:05Z").select("id", "note_order", "creation_date")

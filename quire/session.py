@@ -63,3 +63,20 @@ def as_ntz(col):
     A date alone means its midnight; text that is no date gives null.
     """
     return F.regexp_replace(F.trim(col.cast("string")), "[Zz]$", "").try_cast("timestamp_ntz")
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that materialize() wrote to the shared folder; the number of them.
+
+    Results that were read from them and not yet written elsewhere are lost. Call it between
+    queries of a long-lived session.
+    """
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return 0
+    held = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("quire-")]
+    for path in held:
+        fs.delete(path, True)
+    return len(held)
