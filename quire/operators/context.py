@@ -12,6 +12,10 @@ TAGGED = r"(?i)\[R[ée]f:[{ws}]*([A-Za-z0-9_-]+),[{ws}]*Para\.[{ws}]*([0-9]+)[{w
 PLAIN = r"(?i)\[R[ée]f:[{ws}]*([A-Za-z0-9_-]+)[{ws}]*\]".replace("{ws}", X.WS).replace("[ée]", "[éÉ]")
 #: Characters of the contexts.
 CHAT_DOCUMENT, CHAT_ALL, STUDY_OTHER, STUDY_MAIN, STUDY_OTHERS, HISTORY = 15_000, 60_000, 8_000, 30_000, 3, 4
+#: Parts in which the documents of a group are cut.
+SALTS = 32
+#: The header of a document, and its least length.
+HEAD = "[DOC ID: ] - TITRE:  ()\nCONTENU:\n"
 EXTERNAL, SEPARATOR = "[[[NOTE_EXTERNE]]]", "\n\n---\n\n"
 
 
@@ -78,9 +82,14 @@ def chat_context(docs: DataFrame, group: str, per_document: int = CHAT_DOCUMENT,
 
 
 def _joined(part: DataFrame, group: str, whole: int) -> DataFrame:
-    w = Window.partitionBy(group).orderBy("ord", "doc_id")
-    before = F.sum(F.length("part") + len(SEPARATOR)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    near = part.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < whole)
+    # more documents than this can't reach into the limit; a group of any size is cut to them in
+    # SALTS parts of its rows before it is ordered as a whole
+    most = whole // len(HEAD + SEPARATOR) + 1
+    order = ("ord", "doc_id")
+    by_part = Window.partitionBy(group, "_salt").orderBy(*order)
+    near = part.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).withColumn("_r", F.row_number().over(by_part)).filter(F.col("_r") <= most)
+    before = F.sum(F.length("part") + len(SEPARATOR)).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    near = near.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < whole)
     rows = F.array_sort(F.collect_list(F.struct("ord", "doc_id", "part")))
     return near.groupBy(group).agg(F.substring(F.array_join(F.transform(rows, lambda r: r["part"]), SEPARATOR), 1, whole).alias("context"))
 
@@ -92,10 +101,9 @@ def study_context(docs: DataFrame, chosen: DataFrame, main_id: str) -> DataFrame
     """
     others = docs.join(chosen.filter(F.col("doc_id") != main_id), "doc_id").orderBy("place").limit(STUDY_OTHERS)
     line = F.concat(F.lit("ID: "), "doc_id", F.lit(" | "), F.coalesce("title", F.lit("")), F.lit("\nCONTENU:\n"), F.substring(F.coalesce("text", F.lit("")), 1, STUDY_OTHER))
-    # STUDY_OTHERS rows at most
-    joined = others.select("place", line.alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda r: r["part"]), SEPARATOR).alias("others"))
-    main = docs.filter(F.col("doc_id") == main_id).select("doc_id", F.substring("text", 1, STUDY_MAIN).alias("main"))
-    return main.join(F.broadcast(joined))
+    parts = [r["part"] for r in others.select("place", line.alias("part")).orderBy("place").collect()]
+    # STUDY_OTHERS short texts
+    return docs.filter(F.col("doc_id") == main_id).select("doc_id", F.substring("text", 1, STUDY_MAIN).alias("main"), F.lit(SEPARATOR.join(parts)).alias("others"))
 
 
 def last_messages(messages: DataFrame, most: int = HISTORY) -> DataFrame:

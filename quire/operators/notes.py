@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.session import materialize
 
 #: A citation whose source begins so has no document behind it.
 VIRTUAL = ("ia-", "definition", "search")
@@ -83,7 +84,8 @@ def positions(notes: DataFrame) -> DataFrame:
     single task sorts all notes.
     """
     placed = notes.select("id", F.struct(F.col("note_order").isNull().alias("z"), F.col("note_order").alias("o"), F.col("id").alias("i")).alias("k")).repartitionByRange("k").withColumn("p", F.spark_partition_id())
-    ranked = placed.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("k")))
+    # written once, so that both uses below see the same ranges
+    ranked = materialize(placed.select("id", "p", F.row_number().over(Window.partitionBy("p").orderBy("k")).alias("r")))
     size = ranked.groupBy("p").agg(F.count("*").alias("n"))
     # one row a partition
     before = size.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
@@ -95,16 +97,12 @@ def move(ordered: DataFrame, dragged: str, target: str) -> DataFrame:
 
     ordered is (id, position). Only places between the two change, so nothing is sorted again.
     """
-    ends = ordered.agg(F.max(F.when(F.col("id") == dragged, F.col("position"))).alias("d"), F.max(F.when(F.col("id") == target, F.col("position"))).alias("t"))
-    p, d, t = F.col("position"), F.col("d"), F.col("t")
-    moved = (
-        F.when(d.isNull() | t.isNull(), p)
-        .when(p == d, t)
-        .when((d < t) & (p > d) & (p <= t), p - 1)
-        .when((d > t) & (p >= t) & (p < d), p + 1)
-        .otherwise(p)
-    )
-    return ordered.join(F.broadcast(ends)).select("id", moved.alias("position"))
+    place = {r["id"]: r["position"] for r in ordered.filter(F.col("id").isin(dragged, target)).limit(2).collect()}
+    if dragged not in place or target not in place:
+        return ordered.select("id", "position")
+    p, d, t = F.col("position"), place[dragged], place[target]
+    shift = F.when(p.between(d + 1, t), p - 1) if d < t else F.when(p.between(t, d - 1), p + 1)
+    return ordered.select("id", F.when(p == d, F.lit(t)).otherwise(F.coalesce(shift, p)).cast("long").alias("position"))
 
 
 def reorder(notes: DataFrame, ids: list[str]) -> DataFrame:
