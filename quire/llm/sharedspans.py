@@ -78,9 +78,31 @@ def anchors(cp: np.ndarray, bounds: np.ndarray, least: int, gram: int) -> tuple[
     high = _sliding(np.concatenate([edge, low, edge]), width, np.maximum)
     at = np.flatnonzero((high == h) & (high > 0))
     row = np.searchsorted(bounds, at, side="right") - 1
+    keep = _thinned(at, row, h[at], gram, width)
+    at, row = at[keep], row[keep]
     return row, at - bounds[row], h[at]
 
 
+def _thinned(at: np.ndarray, row: np.ndarray, h: np.ndarray, gram: int, width: int) -> np.ndarray:
+    """Which anchors are kept: all, but of those that repeat within each other only some.
+
+    Equal pieces that overlap make a text periodic. Two texts that share a part of such a stretch
+    do so as well from its first piece on or up to its last one, and those are kept, and one in
+    each `width` between for the rest of the stretch. So a long row of one character has few anchors.
+    """
+    if not len(at):
+        return np.zeros(0, bool)
+    again = np.zeros(len(at), bool)
+    again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1]) & (at[1:] - at[:-1] < gram)
+    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
+    step = (at - at[first]) // width
+    new = np.ones(len(at), bool)
+    new[1:] = ~again[1:] | (step[1:] != step[:-1])
+    last = np.ones(len(at), bool)
+    last[:-1] = ~again[1:]
+    return new | last
+
+
 def _anchor_rows(recs: DataFrame, least: int, gram: int) -> DataFrame:
     schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("rec", T.LongType()), T.StructField("pos", T.IntegerType())])
 

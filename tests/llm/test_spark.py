@@ -4,10 +4,11 @@ import random
 import re
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import abuse, canonical, encoding, leakage, lookalikes, neardup, sharedspans, splitting
+from quire.llm import abuse, canonical, codepoints, encoding, leakage, lookalikes, neardup, sharedspans, splitting
 
 WORDS = "river boat stone well lamp door hill road rain wind fire bread salt gold star moon".split()
 
@@ -166,6 +167,33 @@ def test_coverage(passages):
     assert got["nul"] == (0, 0) and got["shr"] == (3, 0)
 
 
+def test_periodic_texts(spark):
+    rng = random.Random(11)
+    unit = ["=", "-=", "ab ", "xyzxy", "*" * 7 + "_"]
+    texts = {}
+    for i in range(36):
+        body = "".join(rng.choice("abc") for _ in range(rng.randint(0, 25)))
+        tail = "".join(rng.choice("abc") for _ in range(rng.randint(0, 25)))
+        texts[f"t{i:02d}"] = body + rng.choice(unit) * rng.randint(5, 60) + rng.choice([tail, "", rng.choice(unit) * 30])
+    df = spark.createDataFrame(list(texts.items()), "rec string, text string")
+    got = rows(sharedspans.pairs(df, "rec", "text", 40, 12), "rec_a", "rec_b")
+    want = sorted(tuple(sorted(p)) for p in combinations(texts, 2) if runs(texts[p[0]], texts[p[1]], 40))
+    assert got == want and len(want) > 60
+    held = {r["rec"]: r["n_shared"] for r in sharedspans.coverage(df, "rec", "text", 40, 12).collect()}
+    for k, t in texts.items():
+        own = set()
+        for o, u in texts.items():
+            if o != k:
+                for i, _, n in runs(t, u, 40):
+                    own |= set(range(i, i + n))
+        assert held[k] == len(own), k
+
+
+def test_a_long_row_of_one_character_has_few_anchors():
+    cp, bounds = codepoints.to_codepoints(pa.array(["=" * 50_000]))
+    assert len(sharedspans.anchors(cp, bounds, 150, 50)[0]) < 600
+
+
 def test_no_records_share_nothing(passages):
     none = passages[1].limit(0)
     assert sharedspans.pairs(none, "rec", "text").count() == 0 and sharedspans.coverage(none, "rec", "text").count() == 0
