@@ -43,7 +43,7 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
     return _WORD.findall(text.casefold())
 
 
