@@ -146,10 +146,6 @@ def export_text(nested: DataFrame) -> DataFrame:
     return nested.select("id", file_name(F.coalesce("title", F.lit(""))).alias("file_name"), F.array_join(F.concat(F.array(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))), lines), "\n").alias("body"))
 
 
-#: Colours of notes.
-COLORS = ("default", "red", "orange", "amber", "yellow", "lime", "green", "emerald", "teal", "cyan", "sky", "blue", "indigo", "violet", "purple", "fuchsia", "pink", "rose")
-
-
 def new_notes(notes: DataFrame, drafts: DataFrame, now: str, color: str = "default") -> DataFrame:
     """notes with drafts (id, title, content) added: created at `now`, an ISO time, after all others in order.
 

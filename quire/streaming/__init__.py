@@ -1 +1 @@
-"""Streams of new documents and of view states. An extension: the reference has no streams."""
+"""Streams of new documents and of view states, an extension."""
