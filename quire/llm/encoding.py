@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from quire.llm.codepoints import ranges, text_array
 
 #: Default place of the vocabulary files; a parameter of every function here.
-VOCABULARIES = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+VOCABULARIES = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -156,6 +156,11 @@ def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return across.unionByName(within).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number and combined hashes of distinct edges; equal for equal sets of edges."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id each node of edges (a, b) is connected to.
 
@@ -164,6 +169,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     gathered. Each round is written to the shared folder.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    mark = _mark(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -172,9 +178,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(low, "a")
         new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         new = materialize(new)
-        if now.exceptAll(new).isEmpty() and new.exceptAll(now).isEmpty():
+        before, now = mark, new
+        mark = _mark(now)
+        if mark == before:
             break
-        now = new
     else:
         raise RuntimeError("components did not settle")
     star = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")

@@ -133,7 +133,7 @@ def pieces(df: DataFrame, key: list[str], text: str, limit: int, overlap: int, b
     start is the offset in characters, shared how many of the piece's first characters end the
     piece before. Texts within the limit are passed on as one piece without leaving the JVM; with
     whole=False they are left out. Null and empty texts give no piece. Repeated rows (same key and
-    text) count once where the text is oversized. Keys may be null; other columns are ignored.
+    text) count once. Keys may be null; other columns are ignored.
     Only oversized texts, each whole, reach Python, spread by a shuffle of just those.
     """
     cols = [F.col(f"`{k}`") for k in key]
@@ -152,5 +152,5 @@ def pieces(df: DataFrame, key: list[str], text: str, limit: int, overlap: int, b
     cut = large.mapInPandas(run, schema)
     if not whole:
         return cut
-    small = source.filter((F.length("content") > 0) & (F.length("content") <= limit))
+    small = source.filter((F.length("content") > 0) & (F.length("content") <= limit)).dropDuplicates()
     return small.select(*cols, F.lit(1).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("shared"), "content").unionByName(cut)

@@ -105,6 +105,8 @@ def test_pieces(spark):
     assert all(len(r["content"]) <= 1000 and r["shared"] <= 100 for p in parts.values() for r in p)
     assert all(long[r["start"] :].startswith(r["content"]) for r in parts["a"])
     assert len(parts["b"]) == 1 and len(parts[None]) == 3
+    twice = splitting.pieces(df.unionAll(df), ["k"], "text", 1000, 100)
+    assert rows(twice.filter("k is not null"), "k", "piece") == rows(got.filter("k is not null"), "k", "piece")
     assert splitting.pieces(df.limit(0), ["k"], "text", 1000, 100).count() == 0
     assert rows(splitting.pieces(df, ["k"], "text", 1000, 100, whole=False).filter("k = 'b'"), "k") == []
 
