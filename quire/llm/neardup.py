@@ -108,7 +108,8 @@ def lookup_tokens(sets: DataFrame, threshold: float) -> DataFrame:
     """
     each = sets.select("rep", F.explode("tokens").alias("t"))
     df = each.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
-    held = each.join(df, "t").groupBy("rep").agg(F.collect_list(F.struct("df", "t")).alias("s"))
+    # counts are unique and spread evenly, so a partition of them fits a hash table; tokens need no sort
+    held = each.join(df.hint("shuffle_hash"), "t").groupBy("rep").agg(F.collect_list(F.struct("df", "t")).alias("s"))
     held = held.join(sets.select("rep", "n"), "rep").withColumn("need", _least(F.col("n"), threshold)).filter(F.size("s") >= F.col("need"))
     held = held.withColumn("t", F.slice(F.sort_array("s"), F.lit(1), F.greatest(F.size("s") - F.col("need") + _several(F.col("n")), F.lit(0))).getField("t"))
     return held.select("rep", "n", F.explode("t").alias("t"))
