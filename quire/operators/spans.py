@@ -37,6 +37,11 @@ def with_offsets(toks: DataFrame) -> DataFrame:
     return toks.withColumn("end", end).withColumn("start", F.col("end") - F.length("token"))
 
 
+def matching(docs: DataFrame, pattern: str) -> DataFrame:
+    """The documents with a match in their glued text; only their tokens are needed to decorate matches."""
+    return docs.filter(glued(docs).rlike(X.java(pattern)))
+
+
 def match_spans(docs: DataFrame, pattern: str, text: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, keep…, match_no, start, end, match): every match of a pattern in a text, the glued one unless another is given.
 

@@ -375,14 +375,14 @@ def match_spans(spark, d):
 
 @query(f'with {TOKENS}, {sql_spans(X.phrase_pattern(PHRASE))} select p.doc_id, global_index, match_no, token from places p join spans s on p.doc_id = s.doc_id and p."end" > s.start and p.start < s."end"')
 def span_overlap(spark, d):
-    docs = documents(spark, d)
+    docs = P.matching(documents(spark, d), X.phrase_pattern(PHRASE))
     toks = P.with_offsets(P.tokens(docs))
     return P.overlaps(toks, P.match_spans(docs, X.phrase_pattern(PHRASE))).select("doc_id", "global_index", "match_no", "token")
 
 
 @query(f"with {TOKENS}, {sql_spans(X.phrase_pattern(WORD))} select s.doc_id, match_no, min(global_index) as global_index from spans s join places p on p.doc_id = s.doc_id and p.start >= s.start group by 1, 2")
 def first_token_after(spark, d):
-    docs = documents(spark, d)
+    docs = P.matching(documents(spark, d), X.phrase_pattern(WORD))
     return P.first_token_after(P.with_offsets(P.tokens(docs)), P.match_spans(docs, X.phrase_pattern(WORD)))
 
 
@@ -402,9 +402,9 @@ m as (
 select doc_id, global_index, arg_max(color, r) as color from m join toks using (doc_id, global_index) group by 1, 2""")
 def word_colours(spark, d):
     docs = documents(spark, d)
-    toks = P.with_offsets(P.tokens(docs))
-    found = P.overlaps(toks, P.match_spans(docs, X.phrase_pattern(WORD)))
-    return P.word_colours(toks, P.highlight_tokens(docs), found)
+    hits = P.matching(docs, X.phrase_pattern(WORD))
+    found = P.overlaps(P.with_offsets(P.tokens(hits)), P.match_spans(hits, X.phrase_pattern(WORD)))
+    return P.word_colours(P.tokens(docs), P.highlight_tokens(docs), found)
 
 
 @query(f"""with {TOKENS}, {sql_spans(X.phrase_pattern(WORD))},
@@ -414,8 +414,9 @@ select distinct doc_id, global_index from (
   union all select p.doc_id, global_index from places p join spans s on p.doc_id = s.doc_id and p."end" > s.start and p.start < s."end")""")
 def decorated_tokens(spark, d):
     docs = documents(spark, d)
-    toks = P.with_offsets(P.tokens(docs))
-    return P.decorated(P.highlight_tokens(docs), P.overlaps(toks, P.match_spans(docs, X.phrase_pattern(WORD))))
+    hits = P.matching(docs, X.phrase_pattern(WORD))
+    found = P.overlaps(P.with_offsets(P.tokens(hits)), P.match_spans(hits, X.phrase_pattern(WORD)))
+    return P.decorated(P.highlight_tokens(docs), found)
 
 
 @query(f"""with {TOKENS}, para as (select doc_id, string_agg(token, '' order by global_index) as s, min(start) as base from places where segment_index = 1 group by 1),
@@ -444,6 +445,6 @@ ACROSS = "e cette"
 @query(f"""with {TOKENS}, {sql_spans(X.phrase_pattern(ACROSS))}
 select s.doc_id, match_no from spans s join places p on p.doc_id = s.doc_id and p."end" > s.start and p.start < s."end" group by 1, 2 having count(distinct segment_index) > 1""")
 def straddling_match(spark, d):
-    docs = documents(spark, d)
+    docs = P.matching(documents(spark, d), X.phrase_pattern(ACROSS))
     met = P.overlaps(P.with_offsets(P.tokens(docs)), P.match_spans(docs, X.phrase_pattern(ACROSS)))
     return met.groupBy("doc_id", "match_no").agg(F.count_distinct("segment_index").alias("k")).filter("k > 1").select("doc_id", "match_no")
