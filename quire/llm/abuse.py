@@ -84,7 +84,7 @@ def skeleton(word: str) -> str:
 
 def letters(word: str) -> tuple[np.ndarray, np.ndarray]:
     """(table places, weights) of the subsequences of three letters of a word, of norm 1."""
-    s = "^" + skeleton(word)[:24] + "$"
+    s = "^" + skeleton(word) + "$"
     found: dict[int, float] = {}
     for i in range(len(s)):
         for j in range(i + 1, min(len(s), i + 3)):
