@@ -150,6 +150,27 @@ def postings(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.select("doc_id", "paragraph_index", F.explode(X.fts_tokens(F.col("content"))).alias("token")).groupBy("token", "doc_id", "paragraph_index").agg(F.count("*").alias("n"))
 
 
+def write_postings(index: DataFrame, path: str) -> None:
+    """Write postings in ranges of tokens, sorted, so that looking up a token or a beginning reads few row groups."""
+    index.repartitionByRange("token").sortWithinPartitions("token", "doc_id", "paragraph_index").write.mode("overwrite").parquet(path)
+
+
+def by_index(index: DataFrame, terms: list[str], mode: Mode = Mode.EXACT_WORDS) -> DataFrame:
+    """(doc_id, paragraph_index, n): paragraphs by the beginnings of their tokens, from the postings alone; n counts the terms' tokens.
+
+    DIVERSE wants any term, the other modes all. The beginnings are filters that reach the scan of
+    the index; terms are told apart by their number, so a paragraph is one row whatever it repeats.
+    """
+    terms = list(dict.fromkeys(t for term in terms for t in _terms(term)))
+    if not terms:
+        return index.limit(0).select("doc_id", "paragraph_index", "n")
+    hits = index.filter(_any([F.col("token").startswith(t) for t in terms]))
+    met = [F.coalesce(F.bool_or(F.col("token").startswith(t)), F.lit(False)).alias(f"t{k}") for k, t in enumerate(terms)]
+    found = hits.groupBy("doc_id", "paragraph_index").agg(F.sum("n").cast("long").alias("n"), *met)
+    wanted = [F.col(f"t{k}") for k in range(len(terms))]
+    return found.filter(_any(wanted) if mode == Mode.DIVERSE else _all(wanted)).select("doc_id", "paragraph_index", "n")
+
+
 def export_lines(results: DataFrame, most: int = 25) -> DataFrame:
     """(n, line) of the first results in page order: '1. title (date) - Para n'."""
     top = results.orderBy(F.desc_nulls_last("sermon_date"), "ord", "paragraph_index").limit(most)

@@ -296,6 +296,13 @@ def postings(spark, d):
     return S.postings(I.paragraphs(documents(spark, d)))
 
 
+@query(f"""with {PARAS}, t as (select doc_id, paragraph_index, unnest({sql_tokens('content')}) as token from paras)
+select doc_id, paragraph_index, count(*) as n from t where starts_with(token, 'puits') or starts_with(token, 'roch') group by 1, 2
+having bool_or(starts_with(token, 'puits')) and bool_or(starts_with(token, 'roch'))""")
+def index_lookup(spark, d):
+    return S.by_index(S.postings(I.paragraphs(documents(spark, d))), ["Puits", "roch"])
+
+
 @query(f"""with {PARAS}, hits as (select *, row_number() over ({NEWEST}) as n from paras where contains({sql_norm('content')}, {q(X.norm_text(PHRASE))}))
 select n, n || '. ' || coalesce(title, 'null') || ' (' || coalesce(sermon_date, 'null') || ') - Para ' || paragraph_index as line from hits where n <= 25""")
 def export_lines(spark, d):

@@ -109,3 +109,15 @@ def test_fts_snippet(spark):
     df = spark.createDataFrame([(text,), ("w5",), ("",)], "c string")
     got = [r["s"] for r in df.select(S.fts_snippet(F.col("c"), ["w150"]).alias("s")).collect()]
     assert "<mark>w150</mark>" in got[0] and got[0].startswith("...") and len(got[0].split()) == 96 and got[1:] == ["w5", ""]
+
+
+def test_index_is_the_token_engine(spark, paras, tmp_path):
+    path = str(tmp_path / "postings")
+    S.write_postings(S.postings(paras), path)
+    index = spark.read.parquet(path)
+    for terms, mode in ((["roi", "mer"], S.Mode.EXACT_WORDS), (["roy", "lum"], S.Mode.DIVERSE), (["absent"], S.Mode.DIVERSE), (["?!"], S.Mode.DIVERSE)):
+        want = paras.filter(S.fts_condition(X.fts_tokens(F.col("content")), " ".join(terms), mode))
+        got = S.by_index(index, terms, mode)
+        assert sorted((r[0], r[1]) for r in got.select("doc_id", "paragraph_index").collect()) == sorted((r[0], r[1]) for r in want.select("doc_id", "paragraph_index").collect())
+    plan = S.by_index(index, ["roi"])._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(token,roi)" in plan
