@@ -171,55 +171,131 @@ def _compare(groups: np.ndarray, blocks: np.ndarray, ids: np.ndarray, off: np.nd
     return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(ids[s]), pa.array((off[q] - left).astype(np.int32)), pa.array((off[s] - left).astype(np.int32)), pa.array(size.astype(np.int32))], names=["seg_a", "seg_b", "from_a", "from_b", "length"])
 
 
-def matches(around: DataFrame, least: int, gram: int) -> DataFrame:
-    """(seg_a, seg_b, from_a, from_b, length): the runs shared by two different surroundings of an anchor."""
-    segs = around.select("anchor", "seg_id", "off", "seg").dropDuplicates(["anchor", "seg_id"])
+def _placed(around: DataFrame, of_seg: list) -> DataFrame:
+    """(task, block, seg_id, off, seg, …): the different surroundings of each anchor by the task that compares them; of_seg are aggregates over a surrounding's records."""
+    segs = around.groupBy("anchor", "seg_id").agg(F.min("off").alias("off"), F.min("seg").alias("seg"), *of_seg)
+    more = segs.columns[4:]
     count = around.groupBy("anchor").agg(F.count_distinct("seg_id").alias("m")).filter("m > 1")
     segs = segs.join(count, "anchor").withColumn("nb", F.ceil(F.col("m") / MOST).cast("int"))
     # an anchor with very many surroundings is compared block by block
     block = F.when(F.col("nb") > 1, F.pmod(F.xxhash64("seg_id"), F.col("nb")).cast("int")).otherwise(0)
     segs = segs.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    segs = segs.select("anchor", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "seg_id", "off", "seg")
-    segs = segs.select(F.xxhash64("anchor", "i", "j").alias("task"), F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("block")).alias("block"), "seg_id", "off", "seg")
-    placed = segs.repartition("task").sortWithinPartitions("task")
-    schema = "seg_a long, seg_b long, from_a int, from_b int, length int"
+    segs = segs.select("anchor", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "seg_id", "off", "seg", *more)
+    segs = segs.select(F.xxhash64("anchor", "i", "j").alias("task"), F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("block")).alias("block"), "seg_id", "off", "seg", *more)
+    return segs.repartition("task").sortWithinPartitions("task")
+
+
+def _shards(batches):
+    """Tables of whole tasks, about SHARD bytes of text each."""
+    held, chars, last = [], 0, None
+    for b in batches:
+        task = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)] if len(task) else [0]
+        for x, y in zip(cuts, cuts[1:]):
+            if chars > SHARD and task[x] != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, chars = [], 0
+            part = b.slice(x, y - x)
+            held.append(part)
+            chars += part.column(4).nbytes
+            last = task[x]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
-    def run(batches):
-        held, chars, last = [], 0, None
 
-        def flush():
-            t = pa.Table.from_batches(held).combine_chunks()
-            col = lambda i: t.column(i).to_numpy()
-            return _compare(col(0), col(1), col(2), col(3).astype(np.int64), t.column(4), least, gram)
+def matches(around: DataFrame, least: int, gram: int) -> DataFrame:
+    """(seg_a, seg_b, from_a, from_b, length): the runs shared by two different surroundings of an anchor."""
 
-        for b in batches:
-            task = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)] if len(task) else [0]
-            for x, y in zip(cuts, cuts[1:]):
-                # a shard ends between two tasks
-                if chars > SHARD and task[x] != last:
-                    got = flush()
-                    held, chars = [], 0
-                    if got is not None:
-                        yield got
-                part = b.slice(x, y - x)
-                held.append(part)
-                chars += part.column(4).nbytes
-                last = task[x]
-        if held:
-            got = flush()
+    def run(batches):
+        for t in _shards(batches):
+            col = lambda i, t=t: t.column(i).to_numpy()
+            got = _compare(col(0), col(1), col(2), col(3).astype(np.int64), t.column(4), least, gram)
             if got is not None:
                 yield got
 
-    return placed.mapInArrow(run, schema)
+    return _placed(around, []).mapInArrow(run, "seg_a long, seg_b long, from_a int, from_b int, length int")
 
 
-def _parts(df: DataFrame, key: str, text: str, least: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """(members, runs): (seg_id, key, start, size) of every surrounding, and the runs of different ones."""
+def _shared_parts(ids: np.ndarray, recs: np.ndarray, seg: pa.Array, least: int) -> pa.RecordBatch:
+    """(seg_id, from, length): the parts of each string that stand in a string of another record, in runs of at least `least`.
+
+    The longest match of each suffix is with one of its neighbours of another record in the sorted
+    order of all suffixes, so no two strings are paired.
+    """
+    cp, bounds = to_codepoints(seg)
+    index = fmindex.Index(cp, bounds, int(np.diff(bounds).max()))
+    text = np.zeros(index.n, np.int64)
+    inside = np.ones(index.n, bool)
+    inside[index.starts + index.size] = False
+    text[inside] = cp.astype(np.int64) + 1
+    order = index.order
+    lcp = np.zeros(index.n, np.int32)
+    live, k = np.arange(1, index.n), 0
+    while len(live):
+        a, b = order[live - 1] + k, order[live] + k
+        live = live[(text[a] == text[b]) & (text[a] > 0)]
+        k += 1
+        lcp[live] = k
+    rec = recs[index.owner[order]]
+    best = np.maximum(_to_other(lcp, rec), _to_other(np.append(lcp[1:], np.int32(0))[::-1], rec[::-1])[::-1])
+    at = np.flatnonzero(best >= least)
+    s = index.owner[order[at]]
+    start, size = order[at] - index.starts[s], best[at]
+    o = np.lexsort((start, s))
+    s, start, end = s[o], start[o], start[o] + size[o]
+    # a later suffix of a string reaches as far as an earlier one or farther
+    far = np.maximum.accumulate(end + s * np.int64(1 << 32)) - s * np.int64(1 << 32)
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (start[1:] > far[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(s)) - 1
+    return pa.RecordBatch.from_arrays([pa.array(ids[s[first]]), pa.array(start[first].astype(np.int32)), pa.array((far[last] - start[first]).astype(np.int32))], names=["seg_id", "from", "length"])
+
+
+def _to_other(lcp: np.ndarray, rec: np.ndarray) -> np.ndarray:
+    """The common length of each entry with the nearest one before it of another record; lcp is that with the one just before."""
+    begin = np.ones(len(rec), bool)
+    begin[1:] = rec[1:] != rec[:-1]
+    first = np.maximum.accumulate(np.where(begin, np.arange(len(rec)), 0))
+    out, k = lcp.copy(), 0
+    live = np.flatnonzero(~begin)
+    while len(live):
+        k += 1
+        live = live[live - k >= first[live]]
+        out[live] = np.minimum(out[live], lcp[live - k])
+        live = live[out[live] > 0]
+    return out
+
+
+def shared_parts(around: DataFrame, least: int) -> DataFrame:
+    """(seg_id, from, length): the parts of surroundings of one record that other records have too."""
+    # a surrounding of several records is other than all; one of a single record is told by that
+    lo, hi = F.min("key"), F.max("key")
+    placed = _placed(around, [F.when(lo == hi, F.xxhash64(lo)).alias("rec")])
+
+    def run(batches):
+        for t in _shards(batches):
+            rec = t.column(5).combine_chunks() if isinstance(t.column(5), pa.ChunkedArray) else t.column(5)
+            code = np.arange(len(rec), dtype=np.int64)
+            known = np.flatnonzero(np.asarray(rec.is_valid()))
+            _, same = np.unique(rec.take(pa.array(known)).to_numpy(zero_copy_only=False), return_inverse=True)
+            code[known] = len(rec) + same
+            yield _shared_parts(t.column(2).to_numpy(), code, t.column(4), least)
+
+    return placed.mapInArrow(run, "seg_id long, from int, length int")
+
+
+def _around(df: DataFrame, key: str, text: str, least: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(surroundings, members): members is (seg_id, key, start, size) of every surrounding."""
     if not 0 < gram <= least:
         raise ValueError("gram must be between 1 and least")
     around = materialize(surroundings(df, key, text, least, gram))
-    members = around.select("seg_id", "key", "start", F.length("seg").alias("size")).distinct()
+    return around, around.select("seg_id", "key", "start", F.length("seg").alias("size")).distinct()
+
+
+def _parts(df: DataFrame, key: str, text: str, least: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(members, runs): the members of the surroundings, and the runs of different ones."""
+    around, members = _around(df, key, text, least, gram)
     return members, matches(around, least, gram)
 
 
@@ -272,15 +348,15 @@ def merge(df: DataFrame, by: list[str], start: str, length: str) -> DataFrame:
 def coverage(df: DataFrame, key: str, text: str, least: int = 150, gram: int = GRAM) -> DataFrame:
     """(rec, n_chars, n_shared): of each record its characters, and those in runs that another record has too.
 
-    Records that share nothing come out with 0. Copies aren't paired with each other for this:
-    that a surrounding stands in a second record is enough.
+    Records that share nothing come out with 0. No two records are paired for this: each text
+    is measured against its neighbours in the index, so a formula of very many records costs no
+    more than their number.
     """
-    members, runs = _parts(df, key, text, least, gram)
+    around, members = _around(df, key, text, least, gram)
     held = members.groupBy("seg_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    sides = runs.select(F.col("seg_a").alias("seg_id"), F.col("seg_b").alias("o"), F.col("from_a").alias("from"), "length").unionByName(runs.select(F.col("seg_b").alias("seg_id"), F.col("seg_a").alias("o"), F.col("from_b").alias("from"), "length"))
-    other = held.select(F.col("seg_id").alias("o"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
-    by_run = members.join(sides, "seg_id").join(other, "o").filter("olo <> key or ohi <> key").select("key", (F.col("start") + F.col("from")).alias("start"), "length")
-    by_copy = members.join(held, "seg_id").filter("lo <> key or hi <> key").select("key", "start", F.col("size").alias("length"))
+    parts = shared_parts(around, least)
+    by_run = members.join(parts, "seg_id").select("key", (F.col("start") + F.col("from")).alias("start"), "length")
+    by_copy = members.join(held, "seg_id").filter("lo <> hi").select("key", "start", F.col("size").alias("length"))
     joined = merge(by_run.unionByName(by_copy).distinct(), ["key"], "start", "length").groupBy("key").agg(F.sum("length").alias("n"))
     size = df.select(F.col(f"`{key}`").alias("key"), F.length(F.col(f"`{text}`")).alias("k")).filter("key is not null").groupBy("key").agg(F.max("k").alias("k"))
     return size.join(joined, "key", "left").select(F.col("key").alias("rec"), F.coalesce("k", F.lit(0)).cast("long").alias("n_chars"), F.coalesce("n", F.lit(0)).cast("long").alias("n_shared"))
