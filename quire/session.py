@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +30,29 @@ def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g", *
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a Spark context.
+
+    Without it they could import it only where they run in its folder or have it on their path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_quire_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    own = tempfile.mkdtemp(prefix="quire-code-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    with zipfile.ZipFile(f"{own}/quire.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, Path(home.name) / f.relative_to(home))
+    # Spark's file server hands it out
+    sc.addPyFile(f"{own}/quire.zip")
+    sc._quire_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; each is a Parquet file or folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
