@@ -45,8 +45,8 @@ def _sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - (width - done)], out[width - done :]) if width > done else out
 
 
-def anchors(cp: np.ndarray, bounds: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset, hash) of the anchors of each row; rows shorter than least have none."""
+def anchors(cp: np.ndarray, bounds: np.ndarray, least: int, gram: int, thin: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, hash) of the anchors of each row, without thin all of periodic text too; rows shorter than least have none."""
     none = np.empty(0, np.int64)
     n, width = len(cp), least - gram + 1
     if n < least:
@@ -78,32 +78,39 @@ def anchors(cp: np.ndarray, bounds: np.ndarray, least: int, gram: int) -> tuple[
     high = _sliding(np.concatenate([edge, low, edge]), width, np.maximum)
     at = np.flatnonzero((high == h) & (high > 0))
     row = np.searchsorted(bounds, at, side="right") - 1
-    keep = _thinned(at, row, h[at], gram, width)
-    at, row = at[keep], row[keep]
+    if thin:
+        keep = _thinned(at, row, h[at], least, gram)
+        at, row = at[keep], row[keep]
     return row, at - bounds[row], h[at]
 
 
-def _thinned(at: np.ndarray, row: np.ndarray, h: np.ndarray, gram: int, width: int) -> np.ndarray:
-    """Which anchors are kept: all, but of those that repeat within each other only some.
+def _thinned(at: np.ndarray, row: np.ndarray, h: np.ndarray, least: int, gram: int) -> np.ndarray:
+    """Which anchors are kept: all, but inside long periodic stretches only some.
 
-    Equal pieces that overlap make a text periodic. Two texts that share a part of such a stretch
-    do so as well from its first piece on or up to its last one, and those are kept, and one in
-    each `width` between for the rest of the stretch. So a long row of one character has few anchors.
+    Equal pieces that follow each other at one and the same distance, less than their length, make
+    the text from the first to the last of them periodic. Near the ends of such a stretch all are
+    kept: what two texts share there may be any of its periods. Farther than `least` from both
+    ends the surroundings are all the same, and those kept near the ends have them already; only
+    for the characters there some are kept, so near each other that runs of any phase around them
+    overlap. So a long row of one character has few anchors.
     """
-    if not len(at):
-        return np.zeros(0, bool)
-    again = np.zeros(len(at), bool)
-    again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1]) & (at[1:] - at[:-1] < gram)
-    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
-    step = (at - at[first]) // width
-    new = np.ones(len(at), bool)
-    new[1:] = ~again[1:] | (step[1:] != step[:-1])
-    last = np.ones(len(at), bool)
-    last[:-1] = ~again[1:]
-    return new | last
-
-
-def _anchor_rows(recs: DataFrame, least: int, gram: int) -> DataFrame:
+    keep = np.ones(len(at), bool)
+    if len(at) < 3:
+        return keep
+    gap = at[1:] - at[:-1]
+    # of a run of `least` that holds a piece, one side has room for the next one
+    gap[(h[1:] != h[:-1]) | (row[1:] != row[:-1]) | (gap >= gram) | (2 * gap > least - gram)] = 0
+    cut = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    first, last = np.append(0, cut), np.append(cut, len(gap))
+    stretch = np.repeat(np.arange(len(first)), last - first)[1:]
+    before, after = at[1:-1] - at[first[stretch]], at[last[stretch]] - at[1:-1]
+    period = gap[1:]
+    step = np.maximum(2 * least - gram - 3 * period, 1)
+    keep[1:-1] = (gap[:-1] != period) | (period == 0) | (before <= least) | (after <= least) | (before // step != (before - period) // step)
+    return keep
+
+
+def _anchor_rows(recs: DataFrame, least: int, gram: int, thin: bool) -> DataFrame:
     schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("rec", T.LongType()), T.StructField("pos", T.IntegerType())])
 
     def run(batches):
@@ -118,17 +125,17 @@ def _anchor_rows(recs: DataFrame, least: int, gram: int) -> DataFrame:
                     part = part.slice(0, rows)
                     cp, bounds = cp[: bounds[rows]], bounds[: rows + 1]
                 at += part.num_rows
-                row, off, h = anchors(cp, bounds, least, gram)
+                row, off, h = anchors(cp, bounds, least, gram, thin)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(off.astype(np.int32))], names=["anchor", "rec", "pos"])
 
     return recs.select("rec", "text").mapInArrow(run, schema)
 
 
-def surroundings(df: DataFrame, key: str, text: str, least: int, gram: int) -> DataFrame:
+def surroundings(df: DataFrame, key: str, text: str, least: int, gram: int, thin: bool = True) -> DataFrame:
     """(anchor, seg_id, off, seg, key, start): the surroundings of each anchor that stands in several records."""
     recs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter(F.col("key").isNotNull() & (F.length("text") >= least))
     recs = recs.select("key", F.xxhash64("key").alias("rec"), "text")
-    found = materialize(_anchor_rows(recs, least, gram))
+    found = materialize(_anchor_rows(recs, least, gram, thin))
     several = found.groupBy("anchor").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).filter("lo < hi").select("anchor")
     # a record has as many anchors as its length allows
     hits = found.join(several, "anchor", "left_semi").groupBy("rec").agg(F.collect_set(F.struct("anchor", "pos")).alias("hits"))
@@ -285,17 +292,17 @@ def shared_parts(around: DataFrame, least: int) -> DataFrame:
     return placed.mapInArrow(run, "seg_id long, from int, length int")
 
 
-def _around(df: DataFrame, key: str, text: str, least: int, gram: int) -> tuple[DataFrame, DataFrame]:
+def _around(df: DataFrame, key: str, text: str, least: int, gram: int, thin: bool = True) -> tuple[DataFrame, DataFrame]:
     """(surroundings, members): members is (seg_id, key, start, size) of every surrounding."""
     if not 0 < gram <= least:
         raise ValueError("gram must be between 1 and least")
-    around = materialize(surroundings(df, key, text, least, gram))
+    around = materialize(surroundings(df, key, text, least, gram, thin))
     return around, around.select("seg_id", "key", "start", F.length("seg").alias("size")).distinct()
 
 
-def _parts(df: DataFrame, key: str, text: str, least: int, gram: int) -> tuple[DataFrame, DataFrame]:
+def _parts(df: DataFrame, key: str, text: str, least: int, gram: int, thin: bool = True) -> tuple[DataFrame, DataFrame]:
     """(members, runs): the members of the surroundings, and the runs of different ones."""
-    around, members = _around(df, key, text, least, gram)
+    around, members = _around(df, key, text, least, gram, thin)
     return members, matches(around, least, gram)
 
 
@@ -308,7 +315,7 @@ def pairs(df: DataFrame, key: str, text: str, least: int = 150, gram: int = GRAM
     members, runs = _parts(df, key, text, least, gram)
     a, b = (members.select(F.col("seg_id").alias("seg_" + x), F.col("key").alias("key_" + x)).distinct() for x in "ab")
     across = runs.select("seg_a", "seg_b").distinct().join(a, "seg_a").join(b, "seg_b").select("key_a", "key_b")
-    within = _copies(members).select("key_a", "key_b")
+    within = _copies(members.withColumn("start", F.lit(0)).distinct()).select("key_a", "key_b")
     both = across.unionByName(within).filter("key_a <> key_b")
     return both.select(F.least("key_a", "key_b").alias("rec_a"), F.greatest("key_a", "key_b").alias("rec_b")).distinct()
 
@@ -323,8 +330,12 @@ def _copies(members: DataFrame) -> DataFrame:
 
 
 def spans(df: DataFrame, key: str, text: str, least: int = 150, gram: int = GRAM) -> DataFrame:
-    """(rec_a, rec_b, start_a, start_b, length): the longest runs of at least `least` characters that two records share."""
-    members, runs = _parts(df, key, text, least, gram)
+    """(rec_a, rec_b, start_a, start_b, length): the longest runs of at least `least` characters that two records share.
+
+    Periodic texts share a run at each shift by their period, and all of these are given; so here
+    all their anchors are kept, and two of them cost the product of their lengths in periods.
+    """
+    members, runs = _parts(df, key, text, least, gram, thin=False)
     a, b = (members.select(F.col("seg_id").alias("seg_" + x), F.col("key").alias("key_" + x), F.col("start").alias("start_" + x)) for x in "ab")
     across = runs.join(a, "seg_a").join(b, "seg_b").filter("key_a <> key_b")
     across = across.select("key_a", "key_b", (F.col("start_a") + F.col("from_a")).alias("start_a"), (F.col("start_b") + F.col("from_b")).alias("start_b"), "length")

@@ -191,6 +191,41 @@ def test_periodic_texts(spark):
         assert held[k] == len(own), k
 
 
+def test_parts_of_periodic_texts_are_found(spark):
+    """Shared runs inside periodic stretches, of periods up to one less than an anchor, against brute force."""
+    rng = random.Random(12)
+    units = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (1, 2, 5, 9, 10, 11, 11)] + ["aabaa" + "aab" + "aaba"[:2]]
+    texts = {}
+    for i in range(30):
+        unit, at, n = rng.choice(units), rng.randint(0, 10), rng.choice([rng.randint(38, 60), rng.randint(60, 180)])
+        ends = ["".join(rng.choice("xyz") for _ in range(rng.randint(0, 50))) for _ in "ab"]
+        texts[f"t{i:02d}"] = ends[0] + (unit * 200)[at : at + n] + ends[1]
+    df = spark.createDataFrame(list(texts.items()), "rec string, text string")
+    brute = {(a, b): got for a, b in combinations(texts, 2) if (got := runs(texts[a], texts[b], 40))}
+    assert rows(sharedspans.pairs(df, "rec", "text", 40, 12), "rec_a", "rec_b") == sorted(brute) and len(brute) > 40
+    cols = ("rec_a", "rec_b", "start_a", "start_b", "length")
+    assert rows(sharedspans.spans(df, "rec", "text", 40, 12), *cols) == sorted((*p, *r) for p, got in brute.items() for r in got)
+    held = {k: set() for k in texts}
+    for (a, b), got in brute.items():
+        for i, j, n in got:
+            held[a] |= set(range(i, i + n))
+            held[b] |= set(range(j, j + n))
+    assert {r["rec"]: r["n_shared"] for r in sharedspans.coverage(df, "rec", "text", 40, 12).collect()} == {k: len(v) for k, v in held.items()}
+
+
+def test_a_run_inside_two_periodic_stretches_is_found(spark):
+    """150 characters of period 49, aligned at each of its phases to longer stretches that go on to the left or to the right."""
+    rng = random.Random(3)
+    for period in (26, 49):
+        unit = "".join(rng.choice("abcdefgh") for _ in range(period))
+        long, lone = unit * 20, lambda n: "".join(rng.choice("uvwxyz") for _ in range(n))
+        texts = [lone(120) + long[at : at + n] + lone(120) for at in range(0, period, 3) for n in (150, 158, 189, 340, 500)]
+        df = spark.createDataFrame([(f"{i:03d}", t) for i, t in enumerate(texts)], "rec string, text string")
+        parts = [{t[k : k + 150] for k in range(len(t) - 149)} for t in texts]
+        want = [(f"{a:03d}", f"{b:03d}") for a, b in combinations(range(len(texts)), 2) if parts[a] & parts[b]]
+        assert rows(sharedspans.pairs(df, "rec", "text"), "rec_a", "rec_b") == want
+
+
 def test_a_long_row_of_one_character_has_few_anchors():
     cp, bounds = codepoints.to_codepoints(pa.array(["=" * 50_000]))
     assert len(sharedspans.anchors(cp, bounds, 150, 50)[0]) < 600
