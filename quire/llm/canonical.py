@@ -13,7 +13,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,6 +140,16 @@ def best(trees: list[Tree], areas: dict[str, set], value: str) -> tuple[object,
     then one of which it holds several names, then one whose main name (not another name) it is.
     Where several are still left, the value doesn't say which is meant: None.
     """
+    got = foremost(trees, areas, value)
+    return (got[0], got[1][0]) if got and got[0] is not None else None
+
+
+def foremost(trees: list[Tree], areas: dict[str, set], value: str) -> tuple[object, list[int]] | None:
+    """(entry, place) of the entry that comes first for value, None for several in one place; None if none is near.
+
+    A place is (distance, area not named, names held, negative, another name), and depends on
+    nothing but the entry; so the first of several lists is the first of their firsts.
+    """
     names, parts = readings(value)
     found: dict[object, tuple[int, int]] = {}
     held: dict[object, set] = {}
@@ -155,14 +165,10 @@ def best(trees: list[Tree], areas: dict[str, set], value: str) -> tuple[object,
     for a, entries in areas.items():
         if any(p == a or levenshtein(p, a) <= min(MOST_EDITS, len(a) // LETTERS_AN_EDIT) for p in parts):
             said |= entries
-    nearest = min(d for d, _ in found.values())
-    left = [e for e, (d, _) in found.items() if d == nearest]
-    left = [e for e in left if e in said] or left
-    most = max(len(held[e]) for e in left)
-    left = [e for e in left if len(held[e]) == most]
-    main = min(found[e][1] for e in left)
-    left = [e for e in left if found[e][1] == main]
-    return (left[0], nearest) if len(left) == 1 else None
+    places = {e: [d, int(e not in said), -len(held[e]), other] for e, (d, other) in found.items()}
+    first = min(places.values())
+    left = [e for e, p in places.items() if p == first]
+    return left[0] if len(left) == 1 else None, first
 
 
 def canonical(df: DataFrame, value: str, reference: DataFrame, entry: str, name: str, area: str | None = None, other_names: str | None = None) -> DataFrame:
@@ -173,7 +179,7 @@ def canonical(df: DataFrame, value: str, reference: DataFrame, entry: str, name:
     so how often a value stands costs nothing. reference may repeat rows or hold null names. The
     names of a reference of up to MOST_BROADCAST rows are sent to every worker as one tree; a
     longer one is cut into shards of that size by a hash of the entry, values meet each
-    shard once, and the winners are merged.
+    shard once, and the shards' winners are compared by what decides within one.
     """
     values = df.select(F.col(f"`{value}`").alias(value)).filter(F.trim(F.regexp_replace(F.col(f"`{value}`"), r"(?U)\s+", " ")) != "").distinct()
     cols = [F.col(f"`{entry}`").alias("e"), F.col(f"`{name}`").alias("n")]
@@ -199,14 +205,15 @@ def canonical(df: DataFrame, value: str, reference: DataFrame, entry: str, name:
 
     def meet(key_, left, right):
         tree, areas = _build(list(right[["e", "n", "a", "o"]].itertuples(index=False, name=None)))
-        for_each = [best([tree], areas, v) for v in left[value]]
-        return pd.DataFrame({value: left[value], entry: pd.array([g and g[0] for g in for_each], dtype=object), "distance": pd.array([None if g is None else g[1] for g in for_each], dtype="Int32")})
-
-    won = asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(meet, out)
-    top = won.groupBy(value).agg(F.min("distance").alias("d"))
-    tied = won.join(top, value).filter("distance = d")
-    merged = tied.groupBy(value).agg(F.count_distinct(entry).alias("k"), F.min(entry).alias(entry), F.min("d").alias("distance"))
-    one = merged.select(value, F.when(F.col("k") == 1, F.col(entry)).alias(entry), F.when(F.col("k") == 1, F.col("distance")).alias("distance"))
+        for_each = [(v, g) for v in left[value] if (g := foremost([tree], areas, v))]
+        columns = [v for v, _ in for_each], [g[0] for _, g in for_each], [g[1] for _, g in for_each]
+        return pd.DataFrame({n: pd.Series(x, dtype=object) for n, x in zip((value, entry, "_place"), columns)})
+
+    won = asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(meet, T.StructType([*out.fields[:2], T.StructField("_place", T.ArrayType(T.IntegerType()))]))
+    tied = won.withColumn("_nth", F.rank().over(Window.partitionBy(value).orderBy("_place"))).filter("_nth = 1")
+    # a shard's null stands for several entries
+    merged = tied.groupBy(value).agg(F.count("*").alias("k"), F.min(entry).alias(entry), F.min(F.col("_place")[0]).alias("distance"))
+    one = merged.filter((F.col("k") == 1) & F.col(entry).isNotNull()).select(value, entry, "distance")
     return values.join(one, value, "left").select(value, entry, "distance")
 
 

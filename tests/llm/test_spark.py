@@ -253,6 +253,22 @@ def test_canonical(spark, monkeypatch):
     assert {r["e"] for r in canonical.canonical(df, "city", ref.limit(0), "e", "name").collect()} == {None}
 
 
+def test_shards_decide_as_one_tree(spark, monkeypatch):
+    """Entries that share a name, in one shard and in several."""
+    areas = ["Norte", "Sur Lago", "Îles", None]
+    entries = [(i, "Beilmudero", areas[i % 4] if i < 4 else None, ["Altone"] if i == 2 else []) for i in range(8)]
+    entries += [(8, "Beilmudera", "Brell", None), (9, "Graunau", "Norte", ["Beilmuderu"]), (10, "Beilmuderu", "Tessaria", []), (11, "Stemauvia", "Brell", None), (12, "Stemauvia", "Brell", None), (13, "Stemauvie", "Brell", None), (14, "Lone", None, ["Graunau"])]
+    ref = spark.createDataFrame(entries, "e int, name string, area string, alts array<string>")
+    said = ["Beilmudero", "Beilmudero, norte", "Beilmudero (Sur Lago)", "Beilmudero / Altone", "Beilmuderi", "Beilmudera", "Beilmuderu", "Beilmuderu, norte", "Stemauvia", "Stemauvia, brell", "Stemauvi", "Stemauvie", "Graunau", "Graunau, norte", "nowhere"]
+    df = spark.createDataFrame([(v,) for v in said], "city string")
+    ask = lambda: {r["city"]: (r["e"], r["distance"]) for r in canonical.canonical(df, "city", ref, "e", "name", "area", "alts").collect()}
+    want = ask()
+    assert want["Beilmudero"] == want["Stemauvia, brell"] == (None, None) and want["Beilmudero, norte"] == (0, 0) and want["Beilmuderu"] == (10, 0)
+    for most in (1, 4, 9):
+        monkeypatch.setattr(canonical, "MOST_BROADCAST", most)
+        assert ask() == want, most
+
+
 # ---- forms, ids, leaks, scores
 
 
