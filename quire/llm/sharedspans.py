@@ -255,7 +255,7 @@ def _shared_parts(ids: np.ndarray, recs: np.ndarray, seg: pa.Array, least: int)
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (start[1:] > far[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(s)) - 1
+    last = np.append(first, len(s))[1:] - 1
     return pa.RecordBatch.from_arrays([pa.array(ids[s[first]]), pa.array(start[first].astype(np.int32)), pa.array((far[last] - start[first]).astype(np.int32))], names=["seg_id", "from", "length"])
 
 

@@ -173,6 +173,11 @@ def test_shared_runs_share_anchors():
     assert set.intersection(*sets) and set(row.tolist()) <= set(range(8))
 
 
+def test_a_shard_without_shared_parts_gives_none():
+    got = sharedspans._shared_parts(np.array([1, 2]), np.array([1, 2]), pa.array(["abcdefgh", "ijklmnop"]), 4)
+    assert got.num_rows == 0
+
+
 def test_shingles_of_words():
     make = neardup.Shingles(3)
     assert len(make("Un deux trois quatre")) == 2 and len(make("a b")) == 0 and len(make(None)) == 0
