@@ -1,15 +1,26 @@
-"""A compressed full-text index of many strings, searched for many patterns at once.
-
-The suffixes are sorted to a fixed depth, which is all that patterns of that length need; the
-Burrows-Wheeler transform stands in a wavelet matrix of packed bits with counts per word.
-Backward search extends all patterns together, one character a step.
+"""A compressed full-text index of many strings, through which strings are streamed backward.
+
+The Burrows-Wheeler transform of all strings stands in a wavelet matrix of packed bits with counts
+per word. Besides it there are the places of every SAMPLE-th suffix, and two bits a suffix that
+mark the classes of suffixes with the same first `least` - 1 characters; neither the texts nor the
+suffix array are kept.
+
+A string is read from its end. Backward search puts the next character before the `least` - 1 ones
+read last: the interval holds every suffix that begins with these `least` characters. Then the last
+of them is forgotten by going over to the class of the interval, and the next character follows. So
+the matching statistics of each place, bounded by `least`, come out with the interval of the match.
+All strings take their steps together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _ONE = np.uint64(1)
+#: One suffix in so many keeps its place.
+SAMPLE = 16
 
 
 class Bits:
@@ -31,26 +42,40 @@ class Bits:
         mask = (_ONE << (i & 63).astype(np.uint64)) - _ONE
         return self.before[w] + np.bitwise_count(self.words[w] & mask)
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The bit at each position."""
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64) & _ONE).astype(bool)
+
 
 class Index:
-    """FM-index of strings given as code points with bounds."""
+    """FM-index of different strings given as code points with bounds, for matches of `least` characters."""
 
-    def __init__(self, cp: np.ndarray, bounds: np.ndarray, depth: int):
+    def __init__(self, cp: np.ndarray, bounds: np.ndarray, least: int):
         size = np.diff(bounds)
         k = len(size)
+        self.least, self.size = least, size
         self.alphabet = np.unique(cp)
         # symbol 0 ends each string; it stands before all characters and equals nothing in a pattern
-        n = len(cp) + k
+        n = self.n = len(cp) + k
         text = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         self.starts = bounds[:-1] + np.arange(k)
         inside[self.starts + size] = False
         text[inside] = np.searchsorted(self.alphabet, cp) + 1
-        self.n, self.size = n, size
-        self.owner = np.repeat(np.arange(k), size + 1)
         sigma = len(self.alphabet) + 1
-        self.order = suffix_order(text, sigma, depth)
-        bwt = text[self.order - 1]
+        order, key, wide = suffix_order(text, sigma)
+        marked = order % SAMPLE == 0
+        self.marked, self.sample = Bits(marked), (order[marked] // SAMPLE).astype(np.int32)
+        same = _same(order, key, wide, sigma, least - 1)
+        begin = ~same
+        begin[:-1] &= same[1:]
+        begin[-1:] = False
+        self.same, self.begin = Bits(same), Bits(begin)
+        # only classes of several suffixes are written down
+        self.class_lo = np.flatnonzero(begin).astype(np.int32)
+        single = np.append(np.flatnonzero(~same), n)
+        self.class_hi = single[np.searchsorted(single, self.class_lo, side="right")].astype(np.int32)
+        bwt = text[order - 1]
         self.first = np.searchsorted(np.sort(text), np.arange(sigma + 1))
         self.levels = []
         for bit in reversed(range(max(1, int(sigma - 1).bit_length()))):
@@ -86,47 +111,70 @@ class Index:
         r = self.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
         return self.first[symbol] + r[:m], self.first[symbol] + r[m:]
 
-    def statistics(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of patterns cp[start:end], read backward from their ends.
-
-        (length, lo, hi): the most characters before the end that stand in more than one place of
-        the index, and the interval of the last `least` of them (empty where there are fewer).
-        """
-        m = len(start)
-        lo, hi = np.zeros(m, np.int64), np.full(m, self.n, np.int64)
-        length = np.zeros(m, np.int64)
-        found_lo, found_hi = np.zeros(m, np.int64), np.zeros(m, np.int64)
-        live = np.arange(m)
-        symbols = self.symbols(cp)
-        step = 0
+    def shorten(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the first `least` - 1 characters of patterns of `least`."""
+        several = np.flatnonzero(self.same.get(lo) | self.begin.get(lo))
+        k = self.begin.ones(lo[several] + 1) - 1
+        lo, hi = lo.copy(), hi.copy()
+        lo[several], hi[several] = self.class_lo[k], self.class_hi[k]
+        return lo, hi
+
+    def before(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol, row): the character before each suffix, and the suffix that begins with it."""
+        at, symbol = row.astype(np.int64), np.zeros(len(row), np.int64)
+        for bit, bits in self.levels:
+            on, ones = bits.get(at), bits.ones(at).astype(np.int64)
+            at = np.where(on, bits.zeros + ones, at - ones)
+            symbol |= on.astype(np.int64) << bit
+        return symbol, self.first[symbol] + at - self.base[symbol]
+
+    def places(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(string, offset) of each suffix, by steps back to the next one that keeps its place."""
+        at, out = row.astype(np.int64), np.zeros(len(row), np.int64)
+        live, step = np.arange(len(row)), 0
         while len(live):
-            at = end[live] - 1 - step
-            live = live[at >= start[live]]
-            c = symbols[end[live] - 1 - step]
-            live = live[c > 0]
-            c = c[c > 0]
-            if not len(live):
-                break
-            lo[live], hi[live] = self.extend(c, lo[live], hi[live])
+            known = self.marked.get(at[live])
+            hit = live[known]
+            out[hit] = self.sample[self.marked.ones(at[hit])].astype(np.int64) * SAMPLE + step
+            live = live[~known]
+            at[live] = self.before(at[live])[1]
             step += 1
-            live = live[hi[live] - lo[live] > 1]
-            length[live] = step
-            if step == least:
-                found_lo[live], found_hi[live] = lo[live], hi[live]
-        return length, found_lo, found_hi
-
-    def places(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pattern, string, offset) of every occurrence in the intervals."""
-        from quire.llm.codepoints import ranges
+        s = np.searchsorted(self.starts, out, side="right") - 1
+        return s, out - self.starts[s]
 
-        which = np.repeat(np.arange(len(lo)), hi - lo)
-        at = self.order[ranges(lo, hi - lo)]
-        s = self.owner[at]
-        return which, s, at - self.starts[s]
+    def stream(self, symbol: np.ndarray, end: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(step, lo, hi) for each step from `least` on: the intervals of the `least` characters that begin `step` before each end.
 
-
-def suffix_order(text: np.ndarray, sigma: int, depth: int) -> np.ndarray:
-    """The suffixes of text, as a ring, in the order of their first `depth` symbols, at least.
+        The strings symbol[end - size:end] stand in the index, the longest first; lo and hi are
+        those of the first strings, which are at least `step` long.
+        """
+        lo, hi = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
+        for step in range(1, int(size.max(initial=0)) + 1):
+            k = int(np.searchsorted(-size, -step, side="right"))
+            lo, hi = self.extend(symbol[end[:k] - step], lo[:k], hi[:k])
+            if step >= self.least:
+                yield step, lo, hi
+                lo, hi = self.shorten(lo, hi)
+
+
+def _same(order: np.ndarray, key: np.ndarray, wide: int, sigma: int, depth: int) -> np.ndarray:
+    """Whether each suffix has the same first `depth` symbols as the one before it in order."""
+    n = len(order)
+    same = np.zeros(n, bool)
+    live = np.arange(1, n)
+    if depth < wide:
+        bits = max(1, int(sigma - 1).bit_length())
+        short = key >> (bits * (wide - depth))
+        live = live[short[order[live - 1]] == short[order[live]]]
+    else:
+        for at in [*range(0, depth - wide, wide), depth - wide]:
+            live = live[key[(order[live - 1] + at) % n] == key[(order[live] + at) % n]]
+    same[live] = True
+    return same
+
+
+def suffix_order(text: np.ndarray, sigma: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(order, key, wide): the suffixes of text, as a ring, in order; key packs the `wide` symbols from each place on.
 
     Packed symbols are sorted first; then the ranks of suffixes that are still tied are doubled.
     """
@@ -145,7 +193,7 @@ def suffix_order(text: np.ndarray, sigma: int, depth: int) -> np.ndarray:
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[order] = head
     done = wide
-    while done < depth:
+    while done < 2 * n:
         last = np.ones(n, bool)
         last[:-1] = new[1:]
         tied = np.flatnonzero(~(new & last))
@@ -162,4 +210,4 @@ def suffix_order(text: np.ndarray, sigma: int, depth: int) -> np.ndarray:
         new[tied] = fresh
         rank[suffix] = np.maximum.accumulate(np.where(fresh, tied, 0))
         done *= 2
-    return order
+    return order, key, wide

@@ -182,6 +182,13 @@ g as (select distinct ord, w[s] || ' ' || w[s + 1] || ' ' || w[s + 2] as t from
 n as (select ord, count(*) as n from g group by ord)
 """
 
+_P4 = """
+with r as (
+  select distinct 'p' || id as rec, content as t from paragraphs where length(content) >= 150
+  union select distinct 'c' || id, quoted_text from citations where length(quoted_text) >= 150),
+g as (select distinct rec, s, md5(t[s : s + 149]) as h from r, unnest(generate_series(1, length(t) - 149)) u(s)),
+w as (select distinct x.rec as rec_a, y.rec as rec_b, x.s as a, y.s as b from g x join g y on x.h = y.h and x.rec < y.rec)"""
+
 ORACLE = {
     "p2_found": _P2 + """
 select a as ord_a, b as ord_b from (select x.ord as a, y.ord as b, count(*) as k from g x join g y on x.t = y.t and x.ord < y.ord group by 1, 2) o
@@ -195,5 +202,14 @@ with r as (
   union select distinct 'c' || id, quoted_text from citations where length(quoted_text) >= 150),
 g as (select distinct rec, md5(t[s : s + 149]) as h from r, unnest(generate_series(1, length(t) - 149)) u(s))
 select distinct x.rec as rec_a, y.rec as rec_b from g x join g y on x.h = y.h and x.rec < y.rec""",
+    "p4_spans": _P4 + """,
+i as (select rec_a, rec_b, a, a - b as shift, a - row_number() over (partition by rec_a, rec_b, a - b order by a) as island from w)
+select rec_a, rec_b, cast(min(a) - 1 as integer) as start_a, cast(min(a) - shift - 1 as integer) as start_b, cast(max(a) - min(a) + 150 as integer) as length from i group by rec_a, rec_b, shift, island""",
+    "p4_shared": _P4 + """,
+p as (select rec_a as rec, a as s from w union select rec_b, b from w),
+e as (select rec, s, coalesce(lead(s) over (partition by rec order by s), s + 150) as n from p),
+k as (select rec, sum(least(n - s, 150)) as n from e group by 1),
+z as (select rec, coalesce(max(length(t)), 0) as n_chars from (select 'p' || id as rec, content as t from paragraphs union all select 'c' || id, quoted_text from citations) where rec is not null group by 1)
+select z.rec, n_chars, cast(coalesce(k.n, 0) as bigint) as n_shared from z left join k using (rec)""",
     "p8_found": _P8 + "select distinct doc_id, item_id from dr join ir using (r)",
 }

@@ -151,16 +151,24 @@ def test_value_means(value, entry):
     assert (got and got[0]) == entry
 
 
-@given(st.lists(st.text(alphabet="ab", max_size=25), min_size=1, max_size=6), st.text(alphabet="abc", min_size=1, max_size=5))
-@settings(max_examples=100, deadline=None)
-def test_backward_search(strings, pattern):
+@given(st.lists(st.text(alphabet="ab", max_size=25), min_size=1, max_size=6, unique=True), st.integers(1, 9))
+@settings(max_examples=150, deadline=None)
+def test_backward_search(strings, least):
     cp = np.array([ord(c) for s in strings for c in s], np.uint32)
-    index = fmindex.Index(cp, np.cumsum([0, *map(len, strings)]), 8)
-    p = np.array([ord(c) for c in pattern], np.uint32)
-    _, lo, hi = index.statistics(p, np.array([0]), np.array([len(p)]), len(p))
-    _, s, o = index.places(lo, hi)
-    want = [(i, k) for i, t in enumerate(strings) for k in range(len(t)) if t.startswith(pattern, k)]
-    assert sorted(zip(s.tolist(), o.tolist())) == (sorted(want) if len(want) > 1 else [])
+    bounds = np.cumsum([0, *map(len, strings)])
+    index = fmindex.Index(cp, bounds, least)
+    size = np.diff(bounds)
+    order = np.argsort(-size, kind="stable")
+    met = {}
+    for step, lo, hi in index.stream(index.symbols(cp), bounds[1:][order], size[order]):
+        for k, (x, y) in enumerate(zip(lo.tolist(), hi.tolist())):
+            s, o = index.places(np.arange(x, y))
+            met[int(order[k]), int(size[order[k]]) - step] = sorted(zip(s.tolist(), o.tolist()))
+    want = {}
+    for i, t in enumerate(strings):
+        for p in range(len(t) - least + 1):
+            want[i, p] = [(j, k) for j, u in enumerate(strings) for k in range(len(u)) if u.startswith(t[p : p + least], k)]
+    assert met == want
 
 
 def test_shared_runs_share_anchors():
@@ -173,9 +181,55 @@ def test_shared_runs_share_anchors():
     assert set.intersection(*sets) and set(row.tolist()) <= set(range(8))
 
 
+def _shard(texts, least):
+    n = len(texts)
+    ids, zero = np.arange(n), np.zeros(n, np.int32)
+    return sharedspans.Shard(pa.table({"unit": ids * 0, "block": zero - 1, "tid": ids, "code": ids + 1000, "start": zero, "text": pa.array(texts, pa.string())}), least)
+
+
+def _got(batches, *cols):
+    return sorted(tuple(r[c] for c in cols) for b in batches for r in b.to_pylist())
+
+
 def test_a_shard_without_shared_parts_gives_none():
-    got = sharedspans._shared_parts(np.array([1, 2]), np.array([1, 2]), pa.array(["abcdefgh", "ijklmnop"]), 4)
-    assert got.num_rows == 0
+    shard = _shard(["abcdefgh", "ijklmnop", "ab"], 4)
+    assert not _got(shard.shared(), "tid") and not _got(shard.pairs(), "a") and not _got(shard.spans(), "a")
+
+
+@given(st.lists(st.text(alphabet="ab", max_size=30), min_size=1, max_size=6), st.integers(1, 9), st.integers(1, 12))
+@settings(max_examples=200, deadline=None)
+def test_a_shard_is_brute_force(texts, least, lane):
+    from unittest import mock
+
+    places = [{t[k : k + least] for k in range(len(t) - least + 1)} for t in texts]
+    want = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if places[i] & places[j]]
+    with mock.patch.object(sharedspans, "LANE", lane):
+        shard = _shard(texts, least)
+        assert _got(shard.pairs(), "a", "b") == want
+        runs: dict = {}
+        for a, b, i, j, n in _got(shard.spans(), "a", "b", "start_a", "start_b", "length"):
+            assert texts[a][i : i + n] == texts[b][j : j + n]
+            runs.setdefault((a, b), set()).update((i + k, j + k) for k in range(n - least + 1))
+        assert runs == {(a, b): {(i, j) for i in range(len(texts[a]) - least + 1) for j in range(len(texts[b]) - least + 1) if texts[a][i : i + least] == texts[b][j : j + least]} for a, b in want}
+        held = {(r, k) for r, s, n in _got(shard.shared(), "tid", "start", "length") for k in range(s, s + n)}
+    assert held == {(i, p + k) for i, t in enumerate(texts) for p in range(len(t) - least + 1) if any(t[p : p + least] in q for j, q in enumerate(places) if j != i) for k in range(least)}
+
+
+def test_runs_come_from_the_index(monkeypatch):
+    shard = _shard(["abcdefgh", "xabcdefy", "abcdexx"], 4)
+    assert len(_got(shard.pairs(), "a", "b")) == 3 and _got(shard.shared(), "tid") and _got(shard.spans(), "a")
+    # an index whose backward search finds nothing
+    monkeypatch.setattr(fmindex.Index, "extend", lambda self, symbol, lo, hi: (lo * 0, hi * 0))
+    assert not _got(shard.pairs(), "a", "b") and not _got(shard.shared(), "tid") and not _got(shard.spans(), "a")
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2), st.integers(0, 300)), max_size=60, unique=True), st.integers(1, 60))
+@settings(max_examples=300, deadline=None)
+def test_fewer_anchors_cover_the_same(found, reach):
+    row, h, at = (np.array([f[i] for f in found], np.int64) for i in range(3))
+    keep = sharedspans.thinned(at, row, h, reach)
+    cover = lambda k: {(r, x, c) for r, x, a in zip(row[k], h[k], at[k]) for c in range(a, a + reach)}
+    assert cover(keep) == cover(np.ones(len(at), bool))
 
 
 def test_shingles_of_words():

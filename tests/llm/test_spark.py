@@ -148,7 +148,9 @@ def test_pairs_share_a_run(passages, monkeypatch, most):
     assert got == want and len(want) > 30
 
 
-def test_spans_are_the_longest(passages):
+@pytest.mark.parametrize("most", [1500, 2])
+def test_spans_are_the_longest(passages, monkeypatch, most):
+    monkeypatch.setattr(sharedspans, "MOST", most)
     texts, df = passages
     some = {k: t for k, t in texts.items() if k[0] in "rc"}
     got = set(rows(sharedspans.spans(df.filter("rec like 'r%' or rec like 'c%'"), "rec", "text", 40, 12), "rec_a", "rec_b", "start_a", "start_b", "length"))
@@ -156,7 +158,9 @@ def test_spans_are_the_longest(passages):
     assert got == want
 
 
-def test_coverage(passages):
+@pytest.mark.parametrize("most", [1500, 2])
+def test_coverage(passages, monkeypatch, most):
+    monkeypatch.setattr(sharedspans, "MOST", most)
     texts, df = passages
     got = {r["rec"]: (r["n_chars"], r["n_shared"]) for r in sharedspans.coverage(df, "rec", "text", 40, 12).collect()}
     for k, t in texts.items():
@@ -226,6 +230,47 @@ def test_a_run_inside_two_periodic_stretches_is_found(spark):
         assert rows(sharedspans.pairs(df, "rec", "text"), "rec_a", "rec_b") == want
 
 
+def test_many_random_periodic_pairs(spark):
+    """30,000 pairs of texts with periodic parts, each pair in letters of its own; some share no run, some just one."""
+    rng = random.Random(21)
+    data, want = [], []
+    for i in range(30_000):
+        base = 0x4E00 + 4 * (i % 5000)
+        unit = [chr(base + rng.randrange(2)) for _ in range(rng.randint(1, 24))]
+        body = "".join(unit) * (200 // len(unit) + 2)
+        made = []
+        for _ in "ab":
+            at, n = rng.randrange(24), rng.choice([148, 149, 150, 151, 160, 190])
+            lone = lambda: chr(base + 2) * rng.randint(0, 30) + chr(base + 3) * rng.randint(0, 9)
+            made.append(lone() + body[at : at + n] + lone())
+        # the same letters come again under another group
+        data += [(f"{i % 5000}-{i // 5000}-{k}", i // 5000, t) for k, t in enumerate(made)]
+        if {made[0][k : k + 150] for k in range(len(made[0]) - 149)} & {made[1][k : k + 150] for k in range(len(made[1]) - 149)}:
+            want.append((f"{i % 5000}-{i // 5000}-0", f"{i % 5000}-{i // 5000}-1"))
+    df = spark.createDataFrame(data, "rec string, grp int, text string")
+    got = []
+    for g in range(6):
+        got += rows(sharedspans.pairs(df.filter(F.col("grp") == g), "rec", "text"), "rec_a", "rec_b")
+    assert sorted(got) == sorted(want) and 8000 < len(want) < 29_000
+
+
+def test_copies_of_periodic_texts_share_each_shift(spark):
+    df = spark.createDataFrame([("a", "xy" * 25), ("b", "xy" * 25), ("c", "xy" * 25), ("c", "z" + "xy" * 22)], "rec string, text string")
+    got = set(rows(sharedspans.spans(df.filter("rec in ('a', 'b')"), "rec", "text", 40, 12), "start_a", "start_b", "length"))
+    assert got == runs("xy" * 25, "xy" * 25, 40) and len(got) == 11
+    held = {r["rec"]: r["n_shared"] for r in sharedspans.coverage(df.filter("rec = 'c'"), "rec", "text", 40, 12).collect()}
+    assert held == {"c": 0}
+
+
+def test_texts_that_share_less_share_nothing(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    same = letters(140)
+    df = spark.createDataFrame([(k, letters(100) + same + letters(100)) for k in "ab"], "rec string, text string")
+    assert rows(sharedspans.coverage(df, "rec", "text"), "rec", "n_chars", "n_shared") == [("a", 340, 0), ("b", 340, 0)]
+    assert sharedspans.pairs(df, "rec", "text").count() == 0
+
+
 def test_a_long_row_of_one_character_has_few_anchors():
     cp, bounds = codepoints.to_codepoints(pa.array(["=" * 50_000]))
     assert len(sharedspans.anchors(cp, bounds, 150, 50)[0]) < 600
