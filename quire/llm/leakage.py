@@ -7,6 +7,10 @@ bounds are taken for all queries of a batch at once, each only where the one bef
 threshold in reach: the largest impacts over all items, the block maxima, the items' own impacts.
 The threshold of an item is the least score that a run of `least` of its own words has, so no leak
 is lost; what passes is verified word by word.
+
+Few items are one broadcast index. More are cut into shards, and the corpus is still read once: a
+bitmap of the items' terms, of bounded size, leaves only the passages whose terms all stand in some
+item; each of these meets the shards of its runs' key terms, whose items have those key terms too.
 """
 
 from __future__ import annotations
@@ -16,10 +20,13 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.codepoints import ranges, text_array
+from quire.session import materialize
 
 #: Words in a row that a document and an item must share.
 LEAST = 12
@@ -29,10 +36,16 @@ GRAM = 3
 BLOCK, BLOCKS = 16, 32
 #: Queries whose block bounds are held at once.
 AT_ONCE = 1 << 15
-#: Items of one broadcast index; more items are searched for in as many passes over the corpus as they fill indexes.
-INDEXED = 5_000
-#: More items than this are refused: they pass through the driver.
-MOST_ITEMS = 200_000
+#: Items and characters of them up to which one index is broadcast, and items of a shard beyond.
+INDEXED, INDEXED_CHARS = 5_000, 8_000_000
+#: Bits of the bitmap of the items' terms, at most, as a power of two.
+BITMAP = 26
+#: Items of a key term from which its runs go by all their words.
+HOT = 1_000
+#: Passages that one copy of a shard is asked for, about.
+ASKED = 20_000
+#: Distinct words a worker remembers.
+REMEMBERED = 500_000
 K1, B = 1.2, 0.75
 
 _WORD = re.compile(r"[^\W_]+")
@@ -196,64 +209,87 @@ class Index:
         ok[c[equal]] = True
         return ok
 
-    def search(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, item number, words shared) of every leak; a text and an item come once."""
+    def hits(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, item number, first word) of every shared run, in order; texts are lists of words."""
         none = np.empty(0, np.int64)
         if self.empty:
             return none, none, none
         get, unknown = self.number.get, self.unknown_word
-        coded = [[get(w, unknown) for w in words(t)] for t in texts]
-        size = np.array([len(c) for c in coded], np.int64)
+        size = np.array([len(t) for t in texts], np.int64)
         bounds = np.concatenate([[0], np.cumsum(size)])
-        x = np.array([w for c in coded for w in c], np.int64)
+        x = np.array([get(w, unknown) for t in texts for w in t], np.int64)
         runs = np.maximum(size - self.least + 1, 0)
         starts = ranges(bounds[:-1], runs)
         q, i = self.candidates(x, starts)
         ok = self.verified(x, q, i)
         q, i = q[ok], i[ok]
-        if not len(q):
-            return none, none, none
         row = np.searchsorted(bounds, q, side="right") - 1
         order = np.lexsort((q, i, row))
-        q, i, row = q[order], i[order], row[order]
+        return row[order], i[order], (q - bounds[row])[order]
+
+    def search(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, item number, words shared) of every leak; a text and an item come once."""
+        row, i, q = self.hits([words(t) for t in texts])
         new = np.ones(len(q), bool)
         new[1:] = (row[1:] != row[:-1]) | (i[1:] != i[:-1])
         step = np.where(new, self.least, np.minimum(np.diff(q, prepend=0), self.least))
         group = np.cumsum(new) - 1
-        return row[new], i[new], np.bincount(group, step).astype(np.int64)
+        return row[new], i[new], np.bincount(group, step, int(new.sum())).astype(np.int64)
+
+
+class Terms:
+    """Hashes of the terms and runs of lists of words; they only say what meets where."""
+
+    def __init__(self, least: int):
+        self.least, self.gram, self.seen = least, min(GRAM, least), {}
+
+    def __call__(self, w: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(term from each word on, key term of each run: the smallest, all words of each run)."""
+        if len(self.seen) > REMEMBERED:
+            self.seen = {}
+        seen = self.seen
+        for x in set(w):
+            if x not in seen:
+                seen[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
+        h = np.array([seen[x] for x in w], np.uint64)
+        term = self._mixed(h, self.gram)
+        run = self._mixed(h, self.least)
+        key = term[: len(run)].copy()
+        for k in range(1, self.least - self.gram + 1):
+            np.minimum(key, term[k : k + len(run)], out=key)
+        return term, key, run
+
+    @staticmethod
+    def _mixed(h: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+        for k in range(n):
+            out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
 
 
 def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
     """(key, item, n_words): each corpus row with each item that it shares `least` words in a row with.
 
     Words are runs of letters or digits without case and accents. n_words counts the words of the
-    row that lie in such shared runs. The items are fetched to the driver and broadcast in indexes
-    of INDEXED items; more than MOST_ITEMS raise ValueError. Null and empty texts and items of
-    fewer words hold no leak. Repeated corpus rows come out repeated; ties and other columns change
-    nothing. One pass over the corpus for each index, no shuffle.
+    row that lie in such shared runs. Null and empty texts and items of fewer words hold no leak;
+    equal rows come out once; ties and other columns change nothing. Up to INDEXED items of
+    INDEXED_CHARS characters are one broadcast index; any number beyond is searched for in shards.
+    The corpus is read once either way, and the result is the same.
     """
-    held = items.select(f"`{item}`", f"`{item_text}`").filter(f"`{item}` is not null").distinct().limit(MOST_ITEMS + 1).collect()
-    if len(held) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items")
-    rows = sorted(((r[0], r[1]) for r in held), key=lambda r: str(r[0]))
-    # an item is whole within one index
-    cuts = [0]
-    for i in range(1, len(rows)):
-        if i - cuts[-1] >= INDEXED and rows[i][0] != rows[i - 1][0]:
-            cuts.append(i)
-    parts = [_search(df, Index(rows[x:y], least), items.schema[item].dataType, key, text, item) for x, y in zip(cuts, [*cuts[1:], len(rows)])]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _search(df: DataFrame, index: Index, kind: T.DataType, key: str, text: str, item: str) -> DataFrame:
-    """One pass over the corpus with one index."""
-    shared = df.sparkSession.sparkContext.broadcast(index)
-    source = df.select(f"`{key}`", f"`{text}`")
-    schema = T.StructType([T.StructField(key, source.schema[0].dataType), T.StructField(item, kind), T.StructField("n_words", T.LongType())])
-    kinds = [pa.field(f.name, k) for f, k in zip(schema.fields, _arrow(schema))]
+    asked = items.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("said")).filter("item is not null and length(said) > 0").distinct()
+    n, chars = asked.agg(F.count("*"), F.coalesce(F.sum(F.length("said")), F.lit(0))).first()
+    source = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    search = _broadcast if n <= INDEXED and chars <= INDEXED_CHARS else _sharded
+    return search(source, asked, least).select(F.col("key").alias(key), F.col("item").alias(item), "n_words").distinct()
+
+
+def _broadcast(source: DataFrame, asked: DataFrame, least: int) -> DataFrame:
+    """(key, item, n_words) by one index of all items."""
+    rows = sorted(((r[0], r[1]) for r in asked.collect()), key=lambda r: str(r[0]))
+    shared = source.sparkSession.sparkContext.broadcast(Index(rows, least))
+    schema = T.StructType([T.StructField("key", source.schema["key"].dataType), T.StructField("item", asked.schema["item"].dataType), T.StructField("n_words", T.LongType())])
+    kind = _arrow(schema)[1]
 
     def run(batches):
         index = shared.value
@@ -262,12 +298,128 @@ def _search(df: DataFrame, index: Index, kind: T.DataType, key: str, text: str,
                 part = b.slice(at, 1000)
                 row, i, n = index.search(text_array(part.column(1)).to_pylist())
                 if len(row):
-                    ids = pa.array([index.items[k] for k in i.tolist()], kinds[1].type)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), ids, pa.array(n)], names=[f.name for f in kinds])
+                    ids = pa.array([index.items[k] for k in i.tolist()], kind)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), ids, pa.array(n)], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
+def _item_terms(held: DataFrame, least: int) -> DataFrame:
+    """(iid, term, runs): the key terms of each item, and the runs of each."""
+
+    def run(batches):
+        terms = Terms(least)
+        for b in batches:
+            iids, keys, runs = [], [], []
+            for iid, said in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                _, key, run = terms(words(said))
+                for k in np.unique(key):
+                    iids.append(iid)
+                    keys.append(int(k.view(np.int64)))
+                    runs.append(np.unique(run[key == k]).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(iids, pa.int64()), pa.array(keys, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], names=["iid", "term", "runs"])
+
+    return held.select("iid", "said").mapInArrow(run, "iid long, term long, runs array<long>")
+
+
+def _bitmap(held: DataFrame, least: int, bits: int) -> np.ndarray:
+    """Which of 2**bits slots the items' terms fall into."""
+
+    def run(batches):
+        terms, on = Terms(least), np.zeros(1 << bits, bool)
+        for b in batches:
+            for said in b.column(0).to_pylist():
+                on[(terms(words(said))[0] >> np.uint64(64 - bits)).astype(np.int64)] = True
+        packed = np.packbits(on, bitorder="little").view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], names=["at", "word"])
+
+    rows = held.select("said").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    words_ = np.zeros(max(1, (1 << bits) // 64), np.int64)
+    words_[rows.column("at").to_numpy()] = rows.column("word").to_numpy()
+    return words_.view(np.uint64)
+
+
+def _sharded(source: DataFrame, asked: DataFrame, least: int) -> DataFrame:
+    """(key, item, n_words) by shards of the items."""
+    spark = source.sparkSession
+    held = materialize(asked.withColumn("iid", F.xxhash64("item", "said")))
+    terms = materialize(_item_terms(held, least))
+    n_terms = terms.count()
+    # bounded by the rows over HOT
+    often = [r["term"] for r in terms.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("term").collect()]
+    hot = np.sort(np.array(often, np.int64))
+    bits = int(np.clip(np.ceil(np.log2(max(1, n_terms) * 64)), 16, BITMAP))
+    known = spark.sparkContext.broadcast((_bitmap(held, least, bits), hot))
+    parts = n_terms // INDEXED + 1
+    # a run goes by its key term, or by all its words where too many items have that term
+    route = F.explode(F.when(F.col("term").isin(often) if often else F.lit(False), F.col("runs")).otherwise(F.array("term")))
+    placed = terms.select("iid", route.alias("route")).select("iid", F.pmod("route", F.lit(parts)).cast("int").alias("part")).distinct()
+    schema = T.StructType([T.StructField("part", T.IntegerType()), source.schema["key"], T.StructField("text_id", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
+
+    def passages(batches):
+        of, (on, hot) = Terms(least), known.value
+        for b in batches:
+            rows, out = [], [[], [], [], []]
+            for r, text in enumerate(text_array(b.column(1)).to_pylist()):
+                w = words(text)
+                if len(w) < least:
+                    continue
+                term, key, run = of(w)
+                slot = term >> np.uint64(64 - bits)
+                here = on[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)
+                total = np.concatenate([[0], np.cumsum(here, dtype=np.int64)])
+                span = least - of.gram + 1
+                good = total[span:] - total[:-span] == span
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], good[: len(run)].astype(np.int8), [0]])))
+                for a, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    k = key[a:e].view(np.int64)
+                    place = np.searchsorted(hot, k)
+                    is_hot = hot[np.minimum(place, len(hot) - 1)] == k if len(hot) else np.zeros(len(k), bool)
+                    go = np.where(is_hot, run[a:e].view(np.int64), k)
+                    for p in np.unique(go % parts).tolist():
+                        rows.append(r)
+                        for col, v in zip(out, (p, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), a, w[a : e + least - 1])):
+                            col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), b.column(0).take(pa.array(rows, pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.string()))], names=schema.names)
+
+    found = materialize(source.mapInArrow(passages, schema))
+    # a shard that is asked for very often is held by several tasks
+    copies = found.groupBy("part").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("copies"))
+    copies = materialize(copies)
+    of_items = placed.join(copies, "part").join(held, "iid").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    of_items = of_items.select("part", "copy", F.lit(0).alias("kind"), "item", "said", F.lit(None).cast(source.schema["key"].dataType).alias("key"), F.lit(None).cast("long").alias("text_id"), F.lit(0).alias("first"), F.array().cast("array<string>").alias("words"))
+    of_texts = found.join(copies, "part").select("part", F.pmod(F.xxhash64("text_id", "first", "key"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), F.lit(None).cast(asked.schema["item"].dataType).alias("item"), F.lit(None).cast("string").alias("said"), "key", "text_id", "first", "words")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = of_items.unionByName(of_texts).repartition(n, "part", "copy").sortWithinPartitions("part", "copy", "kind")
+    result = T.StructType([source.schema["key"], T.StructField("text_id", T.LongType()), T.StructField("item", asked.schema["item"].dataType), T.StructField("first", T.IntegerType())])
+    kind = _arrow(result)[2]
+
+    def search(batches):
+        group, rows, index = None, [], None
+        for b in batches:
+            at = np.stack([b.column(i).to_numpy() for i in (0, 1, 2)])
+            cut = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+            for x, y in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
+                part = b.slice(x, y - x)
+                if (at[0, x], at[1, x]) != group:
+                    group, rows, index = (at[0, x], at[1, x]), [], None
+                if at[2, x] == 0:
+                    rows += list(zip(part.column(3).to_pylist(), part.column(4).to_pylist()))
+                    continue
+                if index is None:
+                    index = Index(sorted(rows, key=lambda r: str(r[0])), least)
+                row, i, q = index.hits(part.column(8).to_pylist())
+                take = pa.array(row)
+                first = part.column(7).to_numpy()[row] + q
+                yield pa.RecordBatch.from_arrays([part.column(5).take(take), part.column(6).take(take), pa.array([index.items[k] for k in i.tolist()], kind), pa.array(first.astype(np.int32))], names=result.names)
+
+    runs = both.mapInArrow(search, result).groupBy("key", "text_id", "item").agg(F.array_sort(F.collect_set("first")).alias("at"))
+    # the words of runs that overlap count once
+    gaps = F.zip_with(F.slice("at", F.lit(2), F.size("at")), F.slice("at", F.lit(1), F.size("at") - 1), lambda a, b: F.least(a - b, F.lit(least)).cast("long"))
+    return runs.select("key", "item", (F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x) + least).alias("n_words"))
+
+
 def _arrow(schema: T.StructType) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -352,11 +352,44 @@ def test_leaks(spark, monkeypatch):
     assert leakage.leaks(d.limit(0), it).count() == 0 and leakage.leaks(d, it.limit(0)).count() == 0
 
 
-def test_too_many_items_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "MOST_ITEMS", 1)
-    it = spark.createDataFrame([(1, "a"), (2, "b")], "item_id long, text string")
-    with pytest.raises(ValueError):
-        leakage.leaks(it.withColumnRenamed("item_id", "doc_id"), it)
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_shards_of_items_find_the_same(spark, monkeypatch, hot):
+    """Many items, some with a passage in common, against the runs of twelve words themselves."""
+    rng = random.Random(6)
+    formula = said(rng, 16)
+    items = [(i, said(rng, 20) + (" " + formula if i % 3 == 0 else "")) for i in range(60)]
+    docs = []
+    for i in range(90):
+        w = items[rng.randrange(60)][1].split()
+        a, n = rng.randrange(8), rng.choice([11, 12, 13, 25])
+        docs.append((i // 2, said(rng, 5) + " " + " ".join(w[a : a + n]) + " " + said(rng, 6) + (" " + formula if i % 4 == 0 else "") + " " + " ".join(w[a : a + n])))
+    d = spark.createDataFrame([*docs, docs[0], (None, docs[1][1]), (7, None)], "doc_id long, text string")
+    it = spark.createDataFrame([*items, items[0], (None, "x"), (99, None)], "item_id long, text string")
+    cols = ("doc_id", "item_id", "n_words")
+    want = sorted((tuple(r[c] for c in cols) for r in leakage.leaks(d, it).collect()), key=repr)
+    monkeypatch.setattr(leakage, "INDEXED", 3)
+    monkeypatch.setattr(leakage, "HOT", hot)
+    monkeypatch.setattr(leakage, "ASKED", 5)
+    assert sorted((tuple(r[c] for c in cols) for r in leakage.leaks(d, it).collect()), key=repr) == want and len(want) > 400
+
+
+def test_very_many_items(spark):
+    rng = random.Random(7)
+    pool = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(pool, k=14))) for i in range(300_000)]
+    docs = []
+    for i in range(300):
+        w = items[rng.randrange(len(items))][1].split()
+        n = rng.choice([11, 12, 14])
+        docs.append((i, " ".join([*rng.choices(pool, k=20), *w[:n], *rng.choices(pool, k=20)])))
+    held = {}
+    for i, t in items:
+        w = t.split()
+        for k in range(3):
+            held.setdefault(tuple(w[k : k + 12]), set()).add(i)
+    want = sorted({(i, x) for i, t in docs for w in [t.split()] for k in range(len(w) - 11) for x in held.get(tuple(w[k : k + 12]), ())})
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(got, "doc_id", "item_id") == want and len(want) > 150
 
 
 def test_scores_and_rates(spark):
