@@ -4,29 +4,45 @@ The names of the reference entries stand in a BK-tree under the Levenshtein dist
 metric: of each node only the children whose distance to it lies within the threshold of the
 query's can hold a match, so every entry within the threshold is found and most are never
 compared. The tree is broadcast while the list is within MOST_BROADCAST; a longer list is cut
-into shards, each with a tree of its own, and the shards' winners are merged.
+into shards, each with a tree of its own, and the shards' winners are merged. Area names stand in a
+tree of the same kind.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import re
 import unicodedata
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Reference entries up to which one tree is broadcast, and of a shard beyond that.
-MOST_BROADCAST = 50_000
+#: Reference rows up to which one tree is broadcast, and of a shard beyond that; characters of them, too.
+MOST_BROADCAST, MOST_CHARS = 50_000, 8_000_000
+#: Values that one copy of a shard is asked for, about.
+ASKED = 20_000
 #: Letters of a name for each edit that is allowed, and the most edits.
 LETTERS_AN_EDIT, MOST_EDITS = 3, 2
 
-# What people write around a place name, without accents and in lower case.
-BEFORE = ("ville de", "commune de", "city of", "town of", "ciudad de", "near", "in", "at", "pres de", "cerca de", "a", "en")
-AFTER = ("city", "town", "ville")
-# Short forms of parts of place names.
-SHORT = {"st": "saint", "ste": "sainte", "mt": "mount", "s": "sur", "pt": "port", "sn": "san"}
+
+@dataclasses.dataclass(frozen=True)
+class Habits:
+    """What people write around a name (before it, after it) and short forms of its parts, without accents and in lower case."""
+
+    before: tuple[str, ...] = ()
+    after: tuple[str, ...] = ()
+    short: tuple[tuple[str, str], ...] = ()
+
+
+# Habits with place names in French, English and Spanish.
+PLACES = Habits(
+    before=("ville de", "commune de", "city of", "town of", "ciudad de", "near", "in", "at", "pres de", "cerca de", "a", "en"),
+    after=("city", "town", "ville"),
+    short=(("st", "saint"), ("ste", "sainte"), ("mt", "mount"), ("s", "sur"), ("pt", "port"), ("sn", "san")),
+)
 
 _PART = re.compile(r"\s*[,;/()\[\]|]\s*|\s+[-–—]+\s+")
 _WORDS = re.compile(r"[^\W_]+")
@@ -38,10 +54,11 @@ def plain(value: str) -> str:
     return " ".join(value.casefold().split())
 
 
-def key(name: str) -> str:
+def key(name: str, habits: Habits = PLACES) -> str:
     """The letters of a name, its short forms spelled out."""
     words = _WORDS.findall(plain(name))
-    return "".join(SHORT.get(w, w) if len(words) > 1 else w for w in words)
+    short = dict(habits.short)
+    return "".join(short.get(w, w) if len(words) > 1 else w for w in words)
 
 
 def levenshtein(a: str, b: str) -> int:
@@ -97,6 +114,10 @@ class Tree:
 
     def within(self, query: str, radius: int) -> list[tuple[int, object]]:
         """(distance, entry) of every entry whose key is within radius of query."""
+        return [(d, e) for d, e, _ in self.near(query, radius)]
+
+    def near(self, query: str, radius: int) -> list[tuple[int, object, str]]:
+        """(distance, entry, key) of every entry whose key is within radius of query."""
         if not self.keys or not query:
             return []
         peq: dict[str, int] = {}
@@ -107,12 +128,12 @@ class Tree:
             node = stack.pop()
             d = _distance(peq, len(query), self.keys[node]) if self.keys[node] else len(query)
             if d <= radius:
-                found += [(d, e) for e in self.entries[node]]
+                found += [(d, e, self.keys[node]) for e in self.entries[node]]
             stack += [child for far, child in self.children[node].items() if d - radius <= far <= d + radius]
         return found
 
 
-def readings(value: str) -> tuple[list[str], list[str]]:
+def readings(value: str, habits: Habits = PLACES) -> tuple[list[str], list[str]]:
     """(names, other parts) that a typed value may hold, as keys: its parts without house numbers
     and the words people write around a name; the parts between commas, slashes, brackets or dashes."""
     parts = [p for p in _PART.split(plain(value).replace("s/", "sur ")) if p]
@@ -123,106 +144,124 @@ def readings(value: str) -> tuple[list[str], list[str]]:
             words = words[1:]
         names.append(words)
         text = " ".join(words)
-        for b in BEFORE:
+        for b in habits.before:
             if text.startswith(b + " "):
                 names.append(words[len(b.split()) :])
         for base in list(names[-2:]):
-            if len(base) > 1 and base[-1] in AFTER:
+            if len(base) > 1 and base[-1] in habits.after:
                 names.append(base[:-1])
-    keys = dict.fromkeys(key(" ".join(w)) for w in names if w)
-    return [k for k in keys if k], [key(p) for p in parts if key(p)]
+    keys = dict.fromkeys(key(" ".join(w), habits) for w in names if w)
+    return [k for k in keys if k], [k for p in parts if (k := key(p, habits))]
+
+
+class Reference:
+    """The names of reference entries in one tree, and their areas in another."""
+
+    def __init__(self, rows: list[tuple], habits: Habits = PLACES):
+        """rows are (entry, name, area, other names); an entry may stand in several rows and keeps the names of all."""
+        names, areas = [], []
+        for e, n, a, other in sorted(rows, key=lambda r: tuple(map(str, r))):
+            names += [(k, (e, 0)) for k in [key(n or "", habits)] if k]
+            names += [(k, (e, 1)) for x in (other if other is not None else []) if x and (k := key(x, habits))]
+            areas += [(k, e) for k in [key(a or "", habits)] if k]
+        self.names, self.areas, self.habits = Tree(names), Tree(areas), habits
+
+    def foremost(self, value: str) -> tuple[object, list[int]] | None:
+        """(entry, place) of the entry that comes first for value, None for several in one place; None if none is near.
+
+        A place is (distance, area not named, names held, negative, another name), and depends on
+        nothing but the entry; so the first of several lists is the first of their firsts.
+        """
+        names, parts = readings(value, self.habits)
+        found: dict[object, tuple[int, int]] = {}
+        held: dict[object, set] = {}
+        for k in names:
+            for d, (entry, other) in self.names.within(k, _radius(k)):
+                found[entry] = min(found.get(entry, (99, 1)), (d, other))
+                held.setdefault(entry, set()).add(other)
+        if not found:
+            return None
+        # the allowed edits of an area are those of its own length
+        said = {e for p in parts for d, e, a in self.areas.near(p, MOST_EDITS) if d <= _radius(a)}
+        places = {e: [d, int(e not in said), -len(held[e]), other] for e, (d, other) in found.items()}
+        first = min(places.values())
+        left = [e for e, p in places.items() if p == first]
+        return left[0] if len(left) == 1 else None, first
 
+    def best(self, value: str) -> tuple[object, int] | None:
+        """(entry, distance) that value means, or None.
 
-def best(trees: list[Tree], areas: dict[str, set], value: str) -> tuple[object, int] | None:
-    """(entry, distance) that value means, or None; areas has the entries of each area by key.
+        The nearest name wins; among entries at the same distance one whose area the value names,
+        then one of which it holds several names, then one whose main name (not another name) it
+        is. Where several are still left, the value doesn't say which is meant: None.
+        """
+        got = self.foremost(value)
+        return (got[0], got[1][0]) if got and got[0] is not None else None
 
-    The nearest name wins; among entries at the same distance one whose area the value names,
-    then one of which it holds several names, then one whose main name (not another name) it is.
-    Where several are still left, the value doesn't say which is meant: None.
-    """
-    got = foremost(trees, areas, value)
-    return (got[0], got[1][0]) if got and got[0] is not None else None
 
+def _radius(k: str) -> int:
+    return min(MOST_EDITS, len(k) // LETTERS_AN_EDIT)
 
-def foremost(trees: list[Tree], areas: dict[str, set], value: str) -> tuple[object, list[int]] | None:
-    """(entry, place) of the entry that comes first for value, None for several in one place; None if none is near.
 
-    A place is (distance, area not named, names held, negative, another name), and depends on
-    nothing but the entry; so the first of several lists is the first of their firsts.
-    """
-    names, parts = readings(value)
-    found: dict[object, tuple[int, int]] = {}
-    held: dict[object, set] = {}
-    for k in names:
-        radius = min(MOST_EDITS, len(k) // LETTERS_AN_EDIT)
-        for tree in trees:
-            for d, (entry, other) in tree.within(k, radius):
-                found[entry] = min(found.get(entry, (99, 1)), (d, other))
-                held.setdefault(entry, set()).add(other)
-    if not found:
-        return None
-    said = set()
-    for a, entries in areas.items():
-        if any(p == a or levenshtein(p, a) <= min(MOST_EDITS, len(a) // LETTERS_AN_EDIT) for p in parts):
-            said |= entries
-    places = {e: [d, int(e not in said), -len(held[e]), other] for e, (d, other) in found.items()}
-    first = min(places.values())
-    left = [e for e, p in places.items() if p == first]
-    return left[0] if len(left) == 1 else None, first
-
-
-def canonical(df: DataFrame, value: str, reference: DataFrame, entry: str, name: str, area: str | None = None, other_names: str | None = None) -> DataFrame:
+#: The reference a worker built last, by the name of its broadcast.
+_built: dict[str, Reference] = {}
+
+
+def _reference(called: str, held, habits: Habits) -> Reference:
+    """The reference of a broadcast, built once a worker."""
+    if called not in _built:
+        _built.clear()
+        _built[called] = Reference(held.value, habits)
+    return _built[called]
+
+
+def canonical(df: DataFrame, value: str, reference: DataFrame, entry: str, name: str, area: str | None = None, other_names: str | None = None, habits: Habits = PLACES) -> DataFrame:
     """(value, entry, distance): each distinct value with the reference entry it means.
 
     entry is null where none is meant or where several are and the value doesn't tell them apart.
     Null and blank values are left out. Values are made distinct before any of them is compared,
-    so how often a value stands costs nothing. reference may repeat rows or hold null names. The
-    names of a reference of up to MOST_BROADCAST rows are sent to every worker as one tree; a
-    longer one is cut into shards of that size by a hash of the entry, values meet each
-    shard once, and the shards' winners are compared by what decides within one.
+    so how often a value stands costs nothing, and spread over the tasks. reference may repeat rows
+    or hold null names; an entry of several rows has all their names and areas. The names of a
+    reference of up to MOST_BROADCAST rows are sent to every worker as one tree; a longer one is
+    cut into shards of that size by a hash of the entry, values meet each shard once, in parts of
+    about ASKED, and the shards' winners are compared by what decides within one. The result is
+    the same. habits says what is written around names; with Habits() nothing is.
     """
-    values = df.select(F.col(f"`{value}`").alias(value)).filter(F.trim(F.regexp_replace(F.col(f"`{value}`"), r"(?U)\s+", " ")) != "").distinct()
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values = df.select(F.col(f"`{value}`").alias("v")).filter(F.trim(F.regexp_replace("v", r"(?U)\s+", " ")) != "").distinct().repartition(n, "v")
     cols = [F.col(f"`{entry}`").alias("e"), F.col(f"`{name}`").alias("n")]
     cols.append((F.col(f"`{area}`") if area else F.lit(None).cast("string")).alias("a"))
     cols.append((F.col(f"`{other_names}`") if other_names else F.array().cast("array<string>")).alias("o"))
-    ref = reference.select(*cols).filter("e is not null").dropDuplicates(["e"])
-    rows = ref.limit(MOST_BROADCAST + 1).collect()
+    ref = reference.select(*cols).filter("e is not null").distinct()
     kind = reference.schema[entry].dataType
-    out = T.StructType([T.StructField(value, T.StringType()), T.StructField(entry, kind), T.StructField("distance", T.IntegerType())])
-    if len(rows) <= MOST_BROADCAST:
-        held = df.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+    size, chars = ref.agg(F.count("*"), F.coalesce(F.sum(F.length(F.concat_ws(" ", "n", "a", F.array_join("o", " ")))), F.lit(0))).first()
+    out = T.StructType([T.StructField("v", T.StringType()), T.StructField("e", kind), T.StructField("distance", T.IntegerType())])
+    if size <= MOST_BROADCAST and chars <= MOST_CHARS:
+        held, called = spark.sparkContext.broadcast([tuple(r) for r in ref.collect()]), uuid.uuid4().hex
 
         def run(frames):
-            tree, areas = _build(held.value)
+            of = _reference(called, held, habits)
             for f in frames:
-                got = [best([tree], areas, v) for v in f[value]]
-                yield pd.DataFrame({value: f[value], entry: pd.array([g and g[0] for g in got], dtype=object), "distance": pd.array([None if g is None else g[1] for g in got], dtype="Int32")})
-
-        return values.mapInPandas(run, out)
-    n = ref.count() // MOST_BROADCAST + 1
-    shards = ref.withColumn("shard", F.pmod(F.xxhash64("e"), F.lit(n)).cast("int"))
-    asked = values.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def meet(key_, left, right):
-        tree, areas = _build(list(right[["e", "n", "a", "o"]].itertuples(index=False, name=None)))
-        for_each = [(v, g) for v in left[value] if (g := foremost([tree], areas, v))]
-        columns = [v for v, _ in for_each], [g[0] for _, g in for_each], [g[1] for _, g in for_each]
-        return pd.DataFrame({n: pd.Series(x, dtype=object) for n, x in zip((value, entry, "_place"), columns)})
-
-    won = asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(meet, T.StructType([*out.fields[:2], T.StructField("_place", T.ArrayType(T.IntegerType()))]))
-    tied = won.withColumn("_nth", F.rank().over(Window.partitionBy(value).orderBy("_place"))).filter("_nth = 1")
+                got = [of.best(v) for v in f["v"]]
+                yield pd.DataFrame({"v": f["v"], "e": pd.array([g and g[0] for g in got], dtype=object), "distance": pd.array([None if g is None else g[1] for g in got], dtype="Int32")})
+
+        return values.mapInPandas(run, out).select(F.col("v").alias(value), F.col("e").alias(entry), "distance")
+    parts = max(int(size // MOST_BROADCAST), int(chars // MOST_CHARS)) + 1
+    blocks = values.count() // ASKED + 1
+    shards = ref.withColumn("shard", F.pmod(F.xxhash64("e"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = values.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def meet(_, left, right):
+        of = Reference(list(right[["e", "n", "a", "o"]].itertuples(index=False, name=None)), habits)
+        met = [(v, g) for v in left["v"] if (g := of.foremost(v))]
+        columns = [v for v, _ in met], [g[0] for _, g in met], [g[1] for _, g in met]
+        return pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in zip(("v", "e", "place"), columns)})
+
+    by = ("shard", "block")
+    won = asked.groupBy(*by).cogroup(shards.groupBy(*by)).applyInPandas(meet, T.StructType([*out.fields[:2], T.StructField("place", T.ArrayType(T.IntegerType()))]))
+    tied = won.withColumn("nth", F.rank().over(Window.partitionBy("v").orderBy("place"))).filter("nth = 1")
     # a shard's null stands for several entries
-    merged = tied.groupBy(value).agg(F.count("*").alias("k"), F.min(entry).alias(entry), F.min(F.col("_place")[0]).alias("distance"))
-    one = merged.filter((F.col("k") == 1) & F.col(entry).isNotNull()).select(value, entry, "distance")
-    return values.join(one, value, "left").select(value, entry, "distance")
-
-
-def _build(rows: list[tuple]) -> tuple[Tree, dict[str, set]]:
-    """The tree of all names of the entries, and the entries of each area."""
-    names, areas = [], {}
-    for e, n, a, other in sorted(rows, key=lambda r: str(r[0])):
-        names += [(key(n), (e, 0))] if n and key(n) else []
-        names += [(key(x), (e, 1)) for x in (other if other is not None else []) if x and key(x)]
-        if a and key(a):
-            areas.setdefault(key(a), set()).add(e)
-    return Tree(names), areas
+    merged = tied.groupBy("v").agg(F.count("*").alias("k"), F.min("e").alias("e"), F.min(F.col("place")[0]).alias("distance"))
+    one = merged.filter("k = 1 and e is not null").select("v", "e", "distance")
+    return values.join(one, "v", "left").select(F.col("v").alias(value), F.col("e").alias(entry), "distance")

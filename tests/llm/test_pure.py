@@ -146,11 +146,15 @@ ENTRIES = [(1, "Stèmauvia", "Îles Tamarines", []), (2, "Beilmudero", "Comté d
     [("stemauvia (ÎLES TAMARINES)", 1), ("near Stèmauvia", 1), ("1459 Stèmauvia", 1), ("STÈAVIA", 1), ("Ville de Stèmauvia", 1), ("Stèmauvia City", 1), ("Beilmmmudero, comte de brell", 2), ("BEILMUDERO / Tessaria Norte", 3), ("Beilmudero.", None), ("Banutan s/ Cése", 4), ("graunaurvile", 4), ("ST-MALESTIVENCA", 6), ("Trillovbourg", None), ("?", None), ("N/A", None), ("0", None)],
 )
 def test_value_means(value, entry):
-    tree, areas = canonical._build(ENTRIES)
-    got = canonical.best([tree], areas, value)
+    got = canonical.Reference(ENTRIES).best(value)
     assert (got and got[0]) == entry
 
 
+def test_values_without_habits():
+    of = canonical.Reference(ENTRIES, canonical.Habits())
+    assert of.best("Stemauviaa") == (1, 1) and of.best("Ville de Stèmauvia") is None and of.best("Stèmauvia, Kenmark") == (1, 0)
+
+
 @given(st.lists(st.text(alphabet="ab", max_size=25), min_size=1, max_size=6, unique=True), st.integers(1, 9))
 @settings(max_examples=150, deadline=None)
 def test_backward_search(strings, least):

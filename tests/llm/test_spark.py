@@ -314,6 +314,38 @@ def test_shards_decide_as_one_tree(spark, monkeypatch):
         assert ask() == want, most
 
 
+def test_one_answer_at_any_size(spark, monkeypatch):
+    """A thousand typed values, entries of several rows, names that several entries have; whatever the size of a shard."""
+    rng = random.Random(15)
+    letters = "aeioubrtlmnsv"
+    names = ["".join(rng.choice(letters) for _ in range(rng.randint(5, 11))) for _ in range(60)]
+    areas = ["north bank", "isles", "delta", None]
+    entries = [(i, rng.choice(names), rng.choice(areas), [rng.choice(names)] if rng.random() < 0.3 else None) for i in range(80)]
+    entries += [(i, rng.choice(names), rng.choice(areas), []) for i in range(20)]
+
+    def typed():
+        w = list(rng.choice(names))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(letters)
+        return "".join(w) + rng.choice(["", "", ", isles", " (delta)", " / " + rng.choice(names)])
+
+    df = spark.createDataFrame([(typed(),) for _ in range(1000)], "city string")
+    ref = spark.createDataFrame(entries, "e int, name string, area string, alts array<string>")
+    ask = lambda: rows(canonical.canonical(df, "city", ref, "e", "name", "area", "alts"), "city", "e", "distance")
+    want = ask()
+    assert len({e for _, e, _ in want}) > 40
+    monkeypatch.setattr(canonical, "ASKED", 300)
+    for most in (2, 30):
+        monkeypatch.setattr(canonical, "MOST_BROADCAST", most)
+        assert ask() == want, most
+
+
+def test_an_entry_of_several_rows_keeps_its_names(spark):
+    ref = spark.createDataFrame([(1, "Paris"), (1, "Lutetia")], "e int, name string")
+    df = spark.createDataFrame([("Paris",), ("Lutetia",)], "city string")
+    assert rows(canonical.canonical(df, "city", ref, "e", "name"), "city", "e") == [("Lutetia", 1), ("Paris", 1)]
+
+
 # ---- forms, ids, leaks, scores
 
 
