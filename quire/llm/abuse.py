@@ -11,6 +11,8 @@ once for each distinct word, and all passages of a text by running sums.
 Labels say of whole documents whether they hold an abusive passage. The passages are found as the
 machine is fitted: of a document labelled abusive the passage that scores highest is the example,
 of another one its highest passages are counterexamples, and both are chosen anew in each round.
+Where few documents are labelled abusive, a first machine labels some of the others that it is sure
+of, and a second one is fitted on these too.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +37,11 @@ BITS = 20
 GAP = 0.7
 #: Words of a passage.
 PASSAGE = 10
-#: Labelled documents that the machine is fitted on, at most.
-MOST_LABELLED = 12_000
+#: Labelled documents that the machine is fitted on, and characters of them, at most.
+MOST_LABELLED, MOST_CHARS = 12_000, 24_000_000
+#: Documents labelled abusive below which others are labelled by a first machine; documents that it is
+#: asked for, those taken of each kind, at most, and the least distance of their scores from the threshold.
+ENOUGH, UNLABELLED, TAKEN, SURE = 400, 10_000, 2_500, 0.15
 #: Landmark passages; rounds of choosing the examples; cost of an error, and how much more one on an example costs.
 LANDMARKS, ROUNDS, COST, WEIGHT = 512, 2, 0.3, 4.0
 #: Counterexamples of a round, at most; documents that a subsequence must stand in to count.
@@ -213,29 +218,60 @@ def _of_words(known: Words, table: np.ndarray) -> np.ndarray:
     return np.add.reduceat(table[place] * weight, at)
 
 
-def fit(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
-    """A model of texts labelled 1 (hold an abusive passage) or 0; without both kinds nothing is abusive.
+def _machines(words: list[list[str]], labels: list[int], which: int, seed: int) -> tuple[np.ndarray, float, list[float], list[float]]:
+    """One of three machines: 0 is of all texts, 1 and 2 are each of a half of them, with their scores of the abusive and the other texts of the other half."""
+    known = Words()
+    made = [(_Text(w, known), y) for w, y in zip(words, labels) if w]
+    pos, neg = [t for t, y in made if y == 1], [t for t, y in made if y == 0]
+    rng = np.random.default_rng([seed, which])
+    if not which:
+        return (*_fit(pos, neg, rng), [], [])
+    k = which - 1
+    table, bias = _fit(pos[k::2], neg[k::2], rng)
+    of_words = _of_words(known, table)
+    return table, bias, *[[x.best(table, of_words)[1] + bias for x in part[1 - k :: 2]] for part in (pos, neg)]
+
+
+def _model(words: list[list[str]], labels: list[int], run, seed: int = 0) -> Model:
+    """The model of texts as words; run does _machines(words, labels, k, seed) for each of a list of k.
 
     The score from which a passage counts is found on texts the machine didn't see: each half of
     the texts is scored by a machine of the other half.
     """
-    known = Words()
-    made = [(_Text(w, known), y) for w, y in zip(tokens(texts), labels) if w]
-    pos, neg = [t for t, y in made if y == 1], [t for t, y in made if y == 0]
-    if not pos or not neg:
-        return Model(np.zeros(1 << BITS, np.float32), -1.0, len(made))
-    rng = np.random.default_rng(seed)
-    table, bias = _fit(pos, neg, rng)
-    if len(pos) < 4 or len(neg) < 4:
-        return Model(table.astype(np.float32), bias, len(made))
-    unseen: tuple[list[float], list[float]] = ([], [])
-    for k in (0, 1):
-        t, b = _fit(pos[k::2], neg[k::2], rng)
-        of_words = _of_words(known, t)
-        for part, scores in zip((pos, neg), unseen):
-            scores += [x.best(t, of_words)[1] + b for x in part[1 - k :: 2]]
-    cut = _threshold(np.array([*unseen[0], *unseen[1]]), len(pos))
-    return Model(table.astype(np.float32), bias - cut, len(made))
+    held = [y for w, y in zip(words, labels) if w]
+    n_pos, n_neg = held.count(1), held.count(0)
+    if not n_pos or not n_neg:
+        return Model(np.zeros(1 << BITS, np.float32), -1.0, len(held))
+    halves = n_pos >= 4 and n_neg >= 4
+    (table, bias, _, _), *more = run(words, labels, [0, 1, 2] if halves else [0], seed)
+    unseen = [sum((m[i] for m in more), []) for i in (2, 3)]
+    cut = _threshold(np.array([*unseen[0], *unseen[1]]), n_pos) if halves else 0.0
+    return Model(np.asarray(table, np.float32), bias - cut, len(held))
+
+
+def fit(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
+    """A model of texts labelled 1 (hold an abusive passage) or 0; without both kinds nothing is abusive."""
+    return _model(tokens(texts), labels, lambda w, y, which, seed: [_machines(w, y, k, seed) for k in which], seed)
+
+
+def _on_executors(spark):
+    """What fits the machines in tasks of their own, side by side."""
+
+    def run(words, labels, which, seed):
+        held = spark.sparkContext.broadcast((words, labels))
+
+        def task(batches):
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    table, bias, pos, neg = _machines(*held.value, k, seed)
+                    cols = [pa.array([k], pa.int64()), pa.array([np.asarray(table, np.float32).tobytes()]), pa.array([float(bias)]), pa.array([pos], pa.list_(pa.float64())), pa.array([neg], pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["k", "table", "bias", "pos", "neg"])
+
+        rows = spark.range(which[0], which[-1] + 1, 1, len(which)).mapInArrow(task, "k long, table binary, bias double, pos array<double>, neg array<double>").collect()
+        held.unpersist()
+        return [(np.frombuffer(bytes(r["table"]), np.float32), r["bias"], r["pos"], r["neg"]) for r in sorted(rows, key=lambda r: r["k"])]
+
+    return run
 
 
 def _fit(pos: list[_Text], neg: list[_Text], rng: np.random.Generator) -> tuple[np.ndarray, float]:
@@ -318,15 +354,62 @@ def verdicts(labels: DataFrame, key: str, label: str) -> DataFrame:
     return votes.filter("m <> 0.5").select(key, (F.col("m") > 0.5).cast("int").alias("y"))
 
 
+def _words(rows: DataFrame) -> DataFrame:
+    """rows (key, text, …) with the words of their text instead of it."""
+    schema = T.StructType([*[f for f in rows.schema if f.name != "text"], T.StructField("words", T.ArrayType(T.StringType()))])
+    at = rows.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            said = pa.array(tokens(text_array(b.column(at)).to_pylist()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(b.columns) if i != at], said], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _bounded(sample: DataFrame, key: str) -> DataFrame:
+    """Of a sample of rows (key, text, …) those in order of a hash that have MOST_CHARS characters together."""
+    before = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64(key), key, "text"))
+    return sample.withColumn("_size", before).filter(F.col("_size") <= MOST_CHARS).drop("_size")
+
+
+#: Fitted models by what they were fitted on, the last few.
+_fitted: dict[tuple, Model] = {}
+
+
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "abusive", most: int = MOST_LABELLED) -> Model:
-    """A model of the labelled documents: of at most `most` of them, chosen by a hash of their key.
+    """A model of the labelled documents: of at most `most` of them, and MOST_CHARS characters, chosen by a hash of their key.
 
-    Only this bounded sample reaches the driver. Null and empty texts teach nothing.
+    Only this bounded sample reaches the driver, as words, which are made on the executors like the
+    machines themselves. With fewer than ENOUGH documents labelled abusive, at most TAKEN of
+    UNLABELLED other documents of each kind join it, by their scores. Null and empty texts teach
+    nothing; of several texts of a key the first in order counts. A model is fitted once in a
+    session for the same documents and labels.
     """
+    spark = documents.sparkSession
     decided = verdicts(labels, key, label)
     sample = decided.orderBy(F.xxhash64(key), key).limit(most)
-    rows = documents.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), key).filter("length(text) > 0").select(key, "text", "y").dropDuplicates([key]).orderBy(key).collect()
-    return fit([r["text"] for r in rows], [r["y"] for r in rows])
+    texts = documents.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text")).filter("length(text) > 0")
+    chosen = texts.join(F.broadcast(sample), key).groupBy(key, "y").agg(F.min("text").alias("text"))
+    rows = sorted(_words(_bounded(chosen, key).select(key, "y", "text")).collect(), key=lambda r: str(r[key]))
+    words, y = [r["words"] for r in rows], [r["y"] for r in rows]
+    said = zlib.crc32(repr([(r[key], r["y"], r["words"]) for r in rows]).encode("utf-8", "surrogatepass"))
+    name = (spark.sparkContext.applicationId, documents.semanticHash(), len(rows), said)
+    if name in _fitted:
+        return _fitted[name]
+    run = _on_executors(spark)
+    model = _model(words, y, run)
+    if 0 < y.count(1) < ENOUGH and y.count(0):
+        others = texts.join(decided.select(key), key, "left_anti").groupBy(key).agg(F.min("text").alias("text"))
+        others = _bounded(others.orderBy(F.xxhash64(key), key).limit(UNLABELLED), key)
+        scored = score(others, model, key).select(key, "score").filter(F.abs("score") > SURE)
+        sure = scored.withColumn("y", (F.col("score") > 0).cast("int")).withColumn("_n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(key), key))).filter(F.col("_n") <= TAKEN)
+        more = sorted(_words(others.join(F.broadcast(sure.select(key, "y")), key).select(key, "y", "text")).collect(), key=lambda r: str(r[key]))
+        model = _model(words + [r["words"] for r in more], y + [r["y"] for r in more], run)
+    while len(_fitted) >= 4:
+        _fitted.pop(next(iter(_fitted)))
+    _fitted[name] = model
+    return model
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

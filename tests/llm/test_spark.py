@@ -464,4 +464,4 @@ def test_held_out_accuracy_on_the_test_data(spark):
     n = {(r["y"], r["abusive"]): r["count"] for r in got}
     hit, wrong, missed = n.get((1, True), 0), n.get((0, True), 0), n.get((1, False), 0)
     # half of 877 verdicts teach few of the ways to insult; precision must hold all the same
-    assert hit / max(1, hit + wrong) > 0.8 and hit / max(1, hit + missed) > 0.5
+    assert hit / max(1, hit + wrong) > 0.8 and hit / max(1, hit + missed) > 0.65
