@@ -19,16 +19,24 @@ from pyspark.sql import types as T
 from quire.llm.codepoints import from_codepoints, ranges, text_array, to_codepoints
 
 # Letters of other scripts and the Latin letters they look like.
-CYRILLIC = "АаВЕеЅѕІіЈјКкМНОоРрСсТУуХхҺһԁԚԛԜԝӀӏѴѵ"
-CYRILLIC_AS = "AaBEeSsIiJjKkMHOoPpCcTYyXxHhdQqWwIlVv"
+CYRILLIC = "АаВЕеЅѕІіЈјКкМНОоРрСсТУуХхҮүҺһԁԌԚԛԜԝӀӏѴѵ"
+CYRILLIC_AS = "AaBEeSsIiJjKkMHOoPpCcTYyXxYyHhdGQqWwIlVv"
 CYRILLIC_ACCENTED = "ЀѐЁёЇї"
 CYRILLIC_ACCENTED_AS = "ÈèËëÏï"
-GREEK = "ΑαΒΕΖΗΙιΚκΜΝνΟοΡρΤΥυΧχϹϲϳγ"
-GREEK_AS = "AaBEZHIiKkMNvOoPpTYuXxCcjy"
+GREEK = "ΑαΒΕΖΗΙιΚκΜΝνΟοΡρΤΥυΧχϹϲͿϳγ"
+GREEK_AS = "AaBEZHIiKkMNvOoPpTYuXxCcJjy"
 GREEK_ACCENTED = "ΆάΈΊίΌόΎύϊ"
 GREEK_ACCENTED_AS = "ÁáÉÍíÓóÝúï"
-ARMENIAN = "ՍսՏՕօհյ"
-ARMENIAN_AS = "UuSOohj"
+ARMENIAN = "ԼՍսՏՕօհյոցքզ"
+ARMENIAN_AS = "LUuSOohjngfq"
+CHEROKEE = "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ"
+CHEROKEE_AS = "DRTiYAJEWMHYGhZbRWSVSLCPKdGB"
+COPTIC = "ⲀⲂⲌⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ"
+COPTIC_AS = "ABZHIKMNOoPpCcTYX"
+LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_AS = "BPDTGKJCZFMNLSRVHWXYAEIOU"
+PHONETIC = "ɑɡ"
+PHONETIC_AS = "ag"
 #: Signs of category Cf that are seen.
 SEEN_FORMATS = (0x600, 0x601, 0x602, 0x603, 0x604, 0x605, 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD)
 #: Invisible characters outside the categories Cf and Cc, as ranges.
@@ -39,6 +47,8 @@ KEPT_CONTROLS = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85)
 DELETE, REPLACE, EXPAND, MARK, WORD, LATIN, LOOKALIKE, EMOJI = (1 << i for i in range(8))
 TOUCHED = DELETE | REPLACE | EXPAND | MARK | LOOKALIKE
 ZWJ, TAGS = 0x200D, (0xE0020, 0xE007F)
+#: The first Hangul syllable, leading consonant, vowel and place before the first trailing consonant; how many of each.
+SYLLABLE, LEAD, VOWEL, TRAIL, LEADS, VOWELS, TRAILS = 0xAC00, 0x1100, 0x1161, 0x11A7, 19, 21, 28
 
 
 def _ordinary(ch: str, kind: str) -> str:
@@ -101,10 +111,13 @@ def tables() -> dict[str, np.ndarray]:
             if apart != ch and not 0xAC00 <= c < 0xD7A4:
                 nfd[c] = apart
         flags[c] = f
+    # vowels and trailing consonants may join what stands before them
+    flags[VOWEL : VOWEL + VOWELS] |= REPLACE
+    flags[TRAIL + 1 : TRAIL + TRAILS] |= REPLACE
     for a, b in MORE_INVISIBLE:
         flags[a : b + 1] = DELETE
     look = np.arange(sys.maxunicode + 1, dtype=np.uint32)
-    for others, latin in ((CYRILLIC, CYRILLIC_AS), (CYRILLIC_ACCENTED, CYRILLIC_ACCENTED_AS), (GREEK, GREEK_AS), (GREEK_ACCENTED, GREEK_ACCENTED_AS), (ARMENIAN, ARMENIAN_AS)):
+    for others, latin in ((CYRILLIC, CYRILLIC_AS), (CYRILLIC_ACCENTED, CYRILLIC_ACCENTED_AS), (GREEK, GREEK_AS), (GREEK_ACCENTED, GREEK_ACCENTED_AS), (ARMENIAN, ARMENIAN_AS), (CHEROKEE, CHEROKEE_AS), (COPTIC, COPTIC_AS), (LISU, LISU_AS), (PHONETIC, PHONETIC_AS)):
         for o, x in zip(others, latin, strict=True):
             look[ord(o)] = ord(x)
             flags[ord(o)] |= LOOKALIKE
@@ -213,6 +226,21 @@ def _compose(cp: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> tuple
     return cp[alive], row[alive]
 
 
+def _syllables(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Single Hangul consonants and vowels as syllables, by arithmetic."""
+    for first, count, base in ((LEAD, LEADS, VOWEL), (SYLLABLE, LEADS * VOWELS * TRAILS, TRAIL)):
+        vowels = base == VOWEL
+        second = (cp >= base + (not vowels)) & (cp < base + (VOWELS if vowels else TRAILS))
+        open_ = (cp >= first) & (cp < first + count) & (vowels | ((cp - np.uint32(SYLLABLE)) % TRAILS == 0))
+        i = np.flatnonzero(open_[:-1] & second[1:] & (row[:-1] == row[1:]))
+        if len(i):
+            cp, alive = cp.copy(), np.ones(len(cp), bool)
+            cp[i] = SYLLABLE + ((cp[i] - LEAD) * VOWELS + cp[i + 1] - VOWEL) * TRAILS if vowels else cp[i] + cp[i + 1] - TRAIL
+            alive[i + 1] = False
+            cp, row = cp[alive], row[alive]
+    return cp, row
+
+
 def consistent(column) -> tuple[pa.StringArray, np.ndarray]:
     """(consistent form, changed) of a text column; null stays null and unchanged."""
     t = tables()
@@ -234,6 +262,7 @@ def consistent(column) -> tuple[pa.StringArray, np.ndarray]:
     if len(cp):
         cp = _unlook(cp, row, t)
         cp, row = _compose(cp, row, t)
+        cp, row = _syllables(cp, row)
     new = np.searchsorted(row, np.arange(len(rows) + 1))
     same = (new[1:] - new[:-1]) == size
     eq = np.flatnonzero(same)
@@ -257,8 +286,7 @@ def normalize(df: DataFrame, text: str, form: str = "form", only_changed: bool =
     are gone, but for those that hold an emoji together; in a word with Latin letters, letters of
     other scripts that look Latin are Latin. Anything else stays. Null gives null, an empty text
     an empty one; text of any length is handled whole. A column already named form, in any case,
-    is replaced. only_changed keeps just the rows whose text differs from its form. Hangul
-    syllables aren't composed from single jamo. Rows keep their number and order: no shuffle.
+    is replaced. only_changed keeps just the rows whose text differs from its form. Rows keep their number and order: no shuffle.
     """
     source = df.select(*[f"`{c}`" for c in df.columns if c.lower() != form.lower() or c == text])
     kept = [c for c in source.columns if c.lower() != form.lower()]

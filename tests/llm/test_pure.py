@@ -34,6 +34,13 @@ def test_composition_is_canonical(texts):
     assert got == [unicodedata.normalize("NFC", t) for t in texts]
 
 
+@given(st.lists(st.text(alphabet=st.sampled_from("a각" + "".join(map(chr, (0x1100, 0x1112, 0x1161, 0x1175, 0x11A8, 0x11C2, 0xAC00, 0xD788, 0x301)))), max_size=10), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_syllables_are_canonical(texts):
+    got = lookalikes.consistent(pa.array(texts, pa.string()))[0].to_pylist()
+    assert got == [unicodedata.normalize("NFC", t) for t in texts]
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
@@ -51,6 +58,10 @@ def test_composition_is_canonical(texts):
         ("a  b\t\nc", "a  b\t\nc"),
         ("👩" + chr(0x200D) + "🚀 ✝" + chr(0xFE0F), "👩" + chr(0x200D) + "🚀 ✝" + chr(0xFE0F)),
         ("m" + chr(0x3CC) + "t", "mót"),
+        (chr(0x13AA) + "vril", "Avril"),
+        ("v" + chr(0x2C9F) + "ir", "voir"),
+        (chr(0x13AA) + chr(0x13AC), chr(0x13AA) + chr(0x13AC)),
+        (chr(0xFFA1) + chr(0xFFC2), "가"),
         ("x" * 50_000 + chr(0x200B), "x" * 50_000),
     ],
 )
