@@ -1,11 +1,11 @@
 """Near-duplicate records with small edits, by an exact token-group matrix.
 
 Records are sets of word sequences. Copies with the same set are one record. Similar records are
-partitioned into groups of bounded size; the matrix has, of each token, the groups whose token
-union holds it. A record is looked up in the matrix by its rarest tokens, of which it shares at
-least one with every record it is similar enough to; the overlap with a group's union bounds that
-with each member, and only groups whose bound reaches the threshold are opened, to be compared
-member by member. Nothing is approximate: no pair at or above the threshold is lost.
+partitioned into groups of bounded size; the matrix has, of each token, the groups whose members
+are looked up by it. Of a pair the smaller record asks: by its rarest tokens, of which it shares
+several with every record it is similar enough to. A group that it meets so is opened if the
+overlap with the union of its members' tokens can reach what the threshold asks for, and its
+members are compared. Nothing is approximate: no pair at or above the threshold is lost.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.codepoints import text_array
+from quire.llm.codepoints import ranges, text_array
 from quire.session import materialize
 
 #: Members of a group, about.
 GROUP = 64
 #: Part of a set's tokens that are looked up beyond the least, so that several must be shared.
 SEVERAL = 0.05
+#: Records that one copy of a group is compared with, about, and tokens that are compared at once.
+ASKED, AT_ONCE = 4_000, 3_000_000
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 500_000
 
@@ -92,58 +94,145 @@ def _least(n, threshold: float):
     return F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
 
 
+def _least_of_smaller(n, threshold: float):
+    """The least overlap of a set of n tokens with one that is similar enough and not smaller."""
+    return F.ceil(n * F.lit(2 * threshold / (1 + threshold)) - F.lit(1e-9)).cast("int")
+
+
 def _several(n):
-    """Shared lookup tokens that two similar sets have at least, by the size of the smaller one."""
+    """Lookup tokens that two similar sets share at least, by the size of the smaller one."""
     return F.greatest(F.lit(1), F.floor(n * F.lit(SEVERAL)).cast("int"))
 
 
-def lookup_tokens(sets: DataFrame, threshold: float) -> DataFrame:
-    """(rep, n, t): for each distinct set the tokens it is looked up by; sets that can have no partner are left out.
+def _lookup(need):
+    """The tokens by which a set that must share `need` of its tokens s is looked up.
+
+    Of its tokens in order of their frequency the last need - k are passed over: the k rarest
+    tokens that two similar sets share are never among these, on either side.
+    """
+    return F.slice("s", F.lit(1), F.greatest(F.size("s") - need + _several(F.col("n")), F.lit(0)))
+
+
+def shared_tokens(sets: DataFrame, threshold: float) -> DataFrame:
+    """(rep, n, s): of each distinct set the tokens that stand in another set too, the rarest first.
 
-    A partner shares at least `need` tokens. A set with fewer that stand in another set too has
-    none; of those of the others, the most frequent need - k are passed over, k growing with the
-    set: the k rarest tokens that two similar sets share are never among them, on either side. So
-    tokens that stand all over the corpus are hardly looked up, and sets that share less than k of
-    the others needn't be compared.
+    Sets in which these are fewer than any partner must share have no partner and are left out. So
+    tokens that stand all over the corpus are hardly looked up.
     """
     each = sets.select("rep", F.explode("tokens").alias("t"))
-    df = each.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
+    df = each.groupBy("t").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
     # counts are unique and spread evenly, so a partition of them fits a hash table; tokens need no sort
     held = each.join(df.hint("shuffle_hash"), "t").groupBy("rep").agg(F.collect_list(F.struct("df", "t")).alias("s"))
-    held = held.join(sets.select("rep", "n"), "rep").withColumn("need", _least(F.col("n"), threshold)).filter(F.size("s") >= F.col("need"))
-    held = held.withColumn("t", F.slice(F.sort_array("s"), F.lit(1), F.greatest(F.size("s") - F.col("need") + _several(F.col("n")), F.lit(0))).getField("t"))
-    return held.select("rep", "n", F.explode("t").alias("t"))
+    held = held.join(sets.select("rep", "n"), "rep").filter(F.size("s") >= _least(F.col("n"), threshold))
+    return held.select("rep", "n", F.sort_array("s").getField("t").alias("s"))
 
 
 def similar(sets: DataFrame, threshold: float = 0.8, group: int = GROUP) -> DataFrame:
-    """(a, b, overlap, similarity): all pairs of distinct token sets with a Jaccard similarity of at least threshold.
+    """(a, b, overlap, similarity), a < b: all pairs of distinct token sets with a Jaccard similarity of at least threshold.
 
     sets is (rep, n, tokens), each set once.
     """
-    n = F.col("n")
-    asked = materialize(lookup_tokens(sets, threshold))
-    # groups: the same first token and about the same size, split to about `group` members
-    base = F.log(F.lit(1 / threshold))
-    seeds = asked.groupBy("rep", "n").agg(F.min("t").alias("seed")).withColumn("band", F.floor(F.log("n") / base))
+    n, spark = F.col("n"), sets.sparkSession
+    held = materialize(shared_tokens(sets, threshold))
+    # groups: the same least lookup token and about the same size, split to about `group` members
+    by, most = _lookup(_least(n, threshold)), _lookup(_least_of_smaller(n, threshold))
+    seeds = held.select("rep", F.array_min(by).alias("seed"), F.floor(F.log("n") / F.log(F.lit(1 / threshold))).alias("band"))
     size = seeds.groupBy("seed", "band").agg(F.count("*").alias("k"))
-    member = seeds.join(size, ["seed", "band"]).select("rep", "n", F.xxhash64("seed", "band", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / group))).alias("gid"))
-    member = materialize(member)
-    shape = member.groupBy("gid").agg(F.min("n").cast("int").alias("lo"), F.max("n").cast("int").alias("hi"), F.max("rep").alias("top"))
-    placed = member.select("rep", "gid").join(shape, "gid")
-    matrix = asked.select("rep", "t").join(placed, "rep").select("t", "gid", "lo", "hi", "top").distinct()
-    # a pair is looked for from the smaller rep; sizes too far apart, or no larger member, meet no group
-    apart = (F.col("top") > F.col("rep")) & (F.col("hi") >= _least(n, threshold)) & (F.col("lo") * F.lit(threshold) <= n + F.lit(1e-9))
-    met = asked.join(matrix, "t").filter(apart).groupBy("rep", "n", "gid").agg(F.count("*").alias("k"))
-    met = materialize(met.filter(F.col("k") >= _several(_least(n, threshold))).select("rep", "n", "gid"))
-    full = materialize(sets.select("rep", "tokens").join(member.select("rep"), "rep", "left_semi"))
-    # the token unions of the groups that are met, about `group` sets each
-    union = member.join(met.select("gid").distinct(), "gid", "left_semi").join(full, "rep").groupBy("gid").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    bound = met.join(full, "rep").join(union, "gid").filter(F.size(F.array_intersect("tokens", "union")) >= _least(n, threshold))
-    opened = bound.select(F.col("rep").alias("a"), F.col("n").alias("na"), "gid").join(member.select("gid", F.col("rep").alias("b"), F.col("n").alias("nb")), "gid")
-    opened = opened.filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(1e-9)))
-    both = opened.join(full.select(F.col("rep").alias("a"), F.col("tokens").alias("sa")), "a").join(full.select(F.col("rep").alias("b"), F.col("tokens").alias("sb")), "b")
-    counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("overlap"))
-    return counted.withColumn("similarity", F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).filter(F.col("similarity") >= threshold).select("a", "b", "overlap", "similarity").distinct()
+    gid = F.xxhash64("seed", "band", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / group)))
+    member = materialize(held.join(seeds.join(size, ["seed", "band"]).select("rep", gid.alias("gid")), "rep").select("rep", "n", "s", "gid"))
+    matrix = member.select("gid", "n", F.explode(by).alias("t")).groupBy("t", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    asks = F.size("s") >= _least_of_smaller(n, threshold)
+    asked = member.filter(asks).select("rep", "n", F.explode(most).alias("t"))
+    # the smaller one of a pair asks, so members are as large as it or larger, within the threshold
+    near = (F.col("hi") >= n) & (F.col("lo") * F.lit(threshold) <= n + F.lit(1e-9))
+    met = asked.join(matrix, "t").filter(near).groupBy("rep", "n", "gid").agg(F.count("*").alias("k"))
+    met = materialize(met.filter(F.col("k") >= _several(n)).select("rep", "gid"))
+    # a group that very many records meet is compared in several tasks
+    copies = materialize(met.groupBy("gid").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("copies")))
+    cols = ("gid", "copy", "kind", "rep", "n", "s")
+    of = member.join(copies, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "rep", "n", "s")
+    ask = met.join(copies, "gid").join(member.select("rep", "n", "s"), "rep").select("gid", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "rep", "n", "s")
+    both = of.select(*cols).unionByName(ask.select(*cols)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gid", "copy").sortWithinPartitions("gid", "copy", "kind")
+
+    def run(batches):
+        for t in _whole_groups(batches):
+            yield _compared(t, threshold)
+
+    found = both.mapInArrow(run, "a long, b long, na int, nb int, overlap int")
+    return found.select("a", "b", "overlap", (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("similarity"))
+
+
+def _whole_groups(batches):
+    """Tables of whole copies of groups, about AT_ONCE tokens each."""
+    held, size, last = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        gid, copy = b.column(0).to_numpy(), b.column(1).to_numpy()
+        length = np.append(0, np.cumsum(np.diff(b.column(5).offsets.to_numpy())))
+        cuts = [0, *(np.flatnonzero((gid[1:] != gid[:-1]) | (copy[1:] != copy[:-1])) + 1).tolist(), b.num_rows]
+        begin = 0
+        for x, y in zip(cuts, cuts[1:]):
+            if size + length[x] - length[begin] > AT_ONCE and (gid[x], copy[x]) != last:
+                held.append(b.slice(begin, x - begin))
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size, begin = [], 0, x
+            last = (gid[x], copy[x])
+        held.append(b.slice(begin))
+        size += length[-1] - length[begin]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _compared(t: pa.Table, threshold: float) -> pa.RecordBatch:
+    """The similar pairs of the records (kind 1) and the members (kind 0) of each group."""
+    col = lambda i: t.column(i).to_numpy()
+    gid, copy, kind, rep, n = (col(i) for i in range(5))
+    lists = t.column(5).chunk(0)
+    at = lists.offsets.to_numpy()
+    token = lists.values.to_numpy()[at[0] : at[-1]].view(np.uint64)
+    size = np.diff(at)
+    row = np.repeat(np.arange(len(rep)), size)
+    new = np.ones(len(gid), bool)
+    new[1:] = (gid[1:] != gid[:-1]) | (copy[1:] != copy[:-1])
+    group = np.cumsum(new).astype(np.uint64)
+    # a token in a group
+    token = (token ^ (group[row] * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+    token ^= token >> np.uint64(32)
+    is_member = kind[row] == 0
+    order = np.argsort(token[is_member], kind="stable")
+    held, owner = token[is_member][order], row[is_member][order]
+    # the unions of the groups' tokens, and the members that have each
+    first = np.flatnonzero(np.append(True, held[1:] != held[:-1])) if len(held) else np.empty(0, np.int64)
+    union, many = held[first], np.diff(np.append(first, len(held)))
+    asked, who = token[~is_member], row[~is_member]
+    place = np.minimum(np.searchsorted(union, asked), max(0, len(union) - 1))
+    hit = union[place] == asked if len(union) else np.zeros(len(asked), bool)
+    place, who = place[hit], who[hit]
+    bound = np.bincount(who, minlength=len(rep))
+    need = np.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9)
+    open_ = bound[who] >= need[who]
+    place, who = place[open_], who[open_]
+    # overlaps of the records with the members of the groups that are opened, by token
+    out = [[], [], []]
+    total = np.cumsum(many[place])
+    x = 0
+    while x < len(place):
+        y = int(np.searchsorted(total, (total[x - 1] if x else 0) + AT_ONCE, side="right"))
+        # a record's tokens stay together
+        y = len(place) if y >= len(place) else int(np.searchsorted(who, who[min(y, len(place) - 1)]))
+        y = y if y > x else int(np.searchsorted(who, who[x], side="right"))
+        k = many[place[x:y]]
+        m = owner[ranges(first[place[x:y]], k)]
+        pair, overlap = np.unique(np.repeat(who[x:y], k) * np.int64(len(rep)) + m, return_counts=True)
+        q, m = pair // len(rep), pair % len(rep)
+        ok = (overlap >= threshold * (n[q] + n[m] - overlap) - 1e-9) & ((n[q] < n[m]) | ((n[q] == n[m]) & (rep[q] < rep[m])))
+        for c, v in zip(out, (q[ok], m[ok], overlap[ok])):
+            c.append(v)
+        x = y
+    q, m, overlap = (np.concatenate([*c, np.empty(0, np.int64)]).astype(np.int64) for c in out)
+    a, b = np.where(rep[q] < rep[m], q, m), np.where(rep[q] < rep[m], m, q)
+    return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), *[pa.array(v.astype(np.int32)) for v in (n[a], n[b], overlap)]], names=["a", "b", "na", "nb", "overlap"])
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
