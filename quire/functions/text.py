@@ -135,6 +135,29 @@ def strip_marks(col: Column) -> Column:
     return F.regexp_replace(col, "<mark[^>]*>|</mark>", "")
 
 
+#: Values that running() adds up at a time.
+RUN = 32
+
+
+def running(values: Column, inclusive: bool = False) -> Column:
+    """The sum of the values before each one of an array, or up to it, without a window.
+
+    Sums are built in runs of RUN values and then over the runs, as each step copies what its run has so far.
+    """
+
+    def sums(arr: Column, start: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        step = F.aggregate(arr, F.struct(start.alias("at"), none.alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"] + x if inclusive else a["at"])).alias("out")))
+        return step["out"]
+
+    zero = F.lit(0).cast("long")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda i: F.slice(values, i * RUN + 1, F.lit(RUN)))
+    each = F.transform(runs, lambda r: F.aggregate(r, zero, lambda a, x: a + x))
+    heads = F.aggregate(each, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+    whole = F.flatten(F.zip_with(runs, heads, sums))
+    return F.when(F.size(values) > RUN, whole).when(F.size(values) > 0, sums(values, zero)).when(F.size(values) == 0, F.array().cast("array<bigint>"))
+
+
 def match_structs(col: Column, pattern: str) -> Column:
     """(piece, match) of every match: the text since the match before, and the match itself."""
     pieces, found = F.split(col, java(pattern), -1), F.regexp_extract_all(col, F.lit(java(pattern)), F.lit(0))

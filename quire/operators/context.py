@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 
 #: The tags of references, with a paragraph and without.
-TAGGED = r"(?i)\[R[ée]f:[{ws}]*([A-Za-z0-9_-]+),[{ws}]*Para\.[{ws}]*([0-9]+)[{ws}]*\]".replace("{ws}", X.WS).replace("[ée]", "[éÉ]")
-PLAIN = r"(?i)\[R[ée]f:[{ws}]*([A-Za-z0-9_-]+)[{ws}]*\]".replace("{ws}", X.WS).replace("[ée]", "[éÉ]")
+TAGGED = rf"(?i)\[R[éÉ]f:[{X.WS}]*([A-Za-z0-9_-]+),[{X.WS}]*Para\.[{X.WS}]*([0-9]+)[{X.WS}]*\]"
+PLAIN = rf"(?i)\[R[éÉ]f:[{X.WS}]*([A-Za-z0-9_-]+)[{X.WS}]*\]"
 #: Characters of the contexts.
 CHAT_DOCUMENT, CHAT_ALL, STUDY_OTHER, STUDY_MAIN, STUDY_OTHERS, HISTORY = 15_000, 60_000, 8_000, 30_000, 3, 4
 #: Parts in which the documents of a group are cut.
 SALTS = 32
-#: The header of a document, and its least length.
-HEAD = "[DOC ID: ] - TITRE:  ()\nCONTENU:\n"
+#: Fixed value: the header of a document.
+HEAD = "[DOC ID: %s] - TITRE: %s (%s)\nCONTENU:\n"
 EXTERNAL, SEPARATOR = "[[[NOTE_EXTERNE]]]", "\n\n---\n\n"
 
 
@@ -76,7 +76,7 @@ def chat_context(docs: DataFrame, group: str, per_document: int = CHAT_DOCUMENT,
     Each document is cut before it is gathered, and of a group only the documents that can reach
     into the limit are gathered, whatever its size.
     """
-    head = F.format_string("[DOC ID: %s] - TITRE: %s (%s)\nCONTENU:\n", "doc_id", "title", "sermon_date")
+    head = F.format_string(HEAD, "doc_id", "title", "sermon_date")
     part = docs.filter(X.given(F.col("text"))).select(group, "ord", "doc_id", F.concat(head, F.substring(numbered_text(F.col("text")), 1, per_document)).alias("part"))
     return _joined(part, group, whole)
 
@@ -84,7 +84,7 @@ def chat_context(docs: DataFrame, group: str, per_document: int = CHAT_DOCUMENT,
 def _joined(part: DataFrame, group: str, whole: int) -> DataFrame:
     # more documents than this can't reach into the limit; a group of any size is cut to them in
     # SALTS parts of its rows before it is ordered as a whole
-    most = whole // len(HEAD + SEPARATOR) + 1
+    most = whole // len(HEAD.replace("%s", "") + SEPARATOR) + 1
     order = ("ord", "doc_id")
     by_part = Window.partitionBy(group, "_salt").orderBy(*order)
     near = part.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).withColumn("_r", F.row_number().over(by_part)).filter(F.col("_r") <= most)

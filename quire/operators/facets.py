@@ -28,8 +28,14 @@ def conditions(*, title: str | None = None, city: str | None = None, year: str |
     return found
 
 
+def present(docs: DataFrame) -> DataFrame:
+    """docs without null rows: those that have no id."""
+    return docs.filter(F.col("doc_id").isNotNull())
+
+
 def filtered(docs: DataFrame, **filters) -> DataFrame:
-    """The documents that meet all filters."""
+    """The documents that meet all filters; null rows meet none."""
+    docs = present(docs)
     for c in conditions(**filters):
         docs = docs.filter(c)
     return docs

@@ -24,11 +24,14 @@ def with_key(library: DataFrame) -> DataFrame:
 def dedupe(docs: DataFrame, keep: str = "first") -> DataFrame:
     """One row a doc_id: the first or the last in order of ord, which is unique.
 
-    The places that win are found from keys alone, and rows meet them by hash, without a sort of texts.
+    The places that win are found from keys alone, and rows meet them by hash, without a sort of
+    texts. What comes out is distributed by doc_id, so windows over documents need no shuffle.
     """
     pick = F.min if keep == "first" else F.max
-    kept = docs.groupBy("doc_id").agg(pick("ord").alias("ord"))
-    return docs.join(kept.hint("shuffle_hash"), ["doc_id", "ord"], "left_semi")
+    kept = docs.groupBy("doc_id").agg(pick("ord").alias("_ord"))
+    # none is beyond the one that wins; an equality would become a key of the join
+    wins = F.col("ord") <= F.col("_ord") if keep == "first" else F.col("ord") >= F.col("_ord")
+    return docs.join(kept.hint("shuffle_hash"), "doc_id").filter(wins).select(*docs.columns)
 
 
 def with_defaults(docs: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:

@@ -127,6 +127,11 @@ def except_ids(chosen: DataFrame, less: DataFrame) -> DataFrame:
     return chosen.select("doc_id").distinct().join(less.select("doc_id"), "doc_id", "left_anti")
 
 
+def replace_ids(chosen: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The given ids instead of the chosen ones; without any, none."""
+    return chosen.select("doc_id").limit(0) if ids is None else union_ids(ids, ids)
+
+
 def toggle(ids: Column, value: Column, single: bool = False) -> Column:
     """The array without value where it holds it, else with it; single keeps at most that one."""
     has = F.array_contains(ids, value)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import materialize
+
 #: A key with at least this share of all references is salted; so at most HOT_KEYS keys are.
 HOT_KEYS = 200
 #: Pieces into which the references of a salted key are spread.
@@ -56,8 +58,8 @@ def _salted(refs: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     The heavy keys hold at least 1/HOT_KEYS of all references each, so there are at most
     HOT_KEYS of them however large the data is, and only they reach the driver.
     """
-    counts = refs.groupBy("key").agg(F.count("*").alias("n"))
-    n = refs.count()
+    counts = materialize(refs.groupBy("key").agg(F.count("*").alias("n")))
+    n = counts.agg(F.sum("n")).first()[0] or 0
     heavy = [r.key for r in counts.filter(F.col("n") * HOT_KEYS >= max(n, 10 * HOT_KEYS)).select("key").collect()] if n else []
     if not heavy:
         return refs.withColumn("salt", F.lit(0)), parents.withColumn("salt", F.lit(0))

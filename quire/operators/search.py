@@ -132,15 +132,20 @@ def fts(paragraphs: DataFrame, documents: DataFrame, query: str, mode: Mode = Mo
 
 
 def fts_snippet(content: Column, terms: list[str], size: int = 96, opening: str = "<mark>", closing: str = "</mark>") -> Column:
-    """The window of `size` words around the first word that begins with a term, terms marked.
+    """The window of `size` words with the most words that begin with a term, terms marked; the first one of several.
 
-    An approximation: which window is shown where several words match is not fixed.
+    Windows that begin at a match are compared, moved left so that their matches stand in the
+    middle. An approximation: which of several windows is shown is not fixed.
     """
     words = F.split(content, f"[{X.WS}]+", -1)
     is_hit = lambda w: F.exists(X.fts_tokens(w), lambda t: _any([t.startswith(x) for x in terms]))
-    at = F.coalesce(F.try_element_at(F.filter(F.transform(words, lambda w, i: F.when(is_hit(w), i)), lambda i: i.isNotNull()), F.lit(1)), F.lit(0))
-    at = F.when(F.size(words) == 0, F.lit(0)).otherwise(at)
-    lo = F.greatest(F.lit(0), F.least(at - (size // 2 - 1), F.size(words) - size))
+    hits = F.filter(F.transform(words, lambda w, i: F.when(is_hit(w), i)), lambda i: i.isNotNull())
+    # hits are few; each tells how many follow within a window, and where the last of them stands
+    each = F.transform(hits, lambda i: F.filter(hits, lambda j: (j >= i) & (j < i + size)))
+    best = F.array_max(F.transform(each, lambda w: F.struct(F.size(w).alias("n"), (-w[0]).alias("first"), F.element_at(w, -1).alias("last"))))
+    spare = F.lit(size) - (best["last"] + best["first"] + 1)
+    at = F.coalesce(-best["first"] - F.floor(spare / 2).cast("int"), F.lit(0))
+    lo = F.greatest(F.lit(0), F.least(at, F.size(words) - size))
     shown = F.transform(F.slice(words, lo + 1, F.lit(size)), lambda w: F.when(is_hit(w), F.concat(F.lit(opening), w, F.lit(closing))).otherwise(w))
     return F.concat(F.when(lo > 0, "...").otherwise(""), F.array_join(shown, " "), F.when(lo + size < F.size(words), "...").otherwise(""))
 
@@ -171,6 +176,80 @@ def by_index(index: DataFrame, terms: list[str], mode: Mode = Mode.EXACT_WORDS)
     return found.filter(_any(wanted) if mode == Mode.DIVERSE else _all(wanted)).select("doc_id", "paragraph_index", "n")
 
 
+def positions(paragraphs: DataFrame) -> DataFrame:
+    """(token, doc_id, paragraph_index, positions): the inverted index with the places of each token in its paragraph, from 0."""
+    each = paragraphs.select("doc_id", "paragraph_index", F.posexplode(X.fts_tokens(F.col("content"))).alias("pos", "token"))
+    return each.groupBy("token", "doc_id", "paragraph_index").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def _runs(index: DataFrame, terms: list[str], last_begins: bool) -> DataFrame:
+    """(doc_id, paragraph_index): paragraphs with the terms in a row; last_begins: the last one only begins the token.
+
+    Only the terms' postings are read. Each place of the k-th term votes for a run k places before.
+    """
+    exact, last = list(dict.fromkeys(terms[:-1] if last_begins else terms)), terms[-1]
+    wanted = F.col("token").isin(exact) if exact else F.lit(False)
+    wanted = wanted | F.col("token").startswith(last) if last_begins else wanted
+    fits = [(F.col("token").startswith(t) if last_begins and k == len(terms) - 1 else F.col("token") == t) for k, t in enumerate(terms)]
+    offsets = F.array_compact(F.array(*[F.when(f, F.lit(k)) for k, f in enumerate(fits)]))
+    votes = index.filter(wanted).select("doc_id", "paragraph_index", F.explode(offsets).alias("k"), "positions")
+    starts = votes.select("doc_id", "paragraph_index", "k", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("at"))
+    found = starts.groupBy("doc_id", "paragraph_index", "at").agg(F.bit_or(F.pow(F.lit(2.0), F.col("k")).cast("long")).alias("seen"))
+    return found.filter(F.col("seen") == (1 << len(terms)) - 1).select("doc_id", "paragraph_index").distinct()
+
+
+def _together(index: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """(doc_id, paragraph_index): paragraphs that have, of some group, all words: the last by its beginning, the others whole."""
+    flat = [(g, i, w, i == len(words) - 1) for g, words in enumerate(groups) for i, w in enumerate(words)]
+    fits = [F.col("token").startswith(w) if begins else F.col("token") == w for _, _, w, begins in flat]
+    met = [F.coalesce(F.bool_or(f), F.lit(False)).alias(f"w{k}") for k, f in enumerate(fits)]
+    found = index.filter(_any(fits)).groupBy("doc_id", "paragraph_index").agg(*met)
+    whole = [_all([F.col(f"w{k}") for k, x in enumerate(flat) if x[0] == g]) for g in range(len(groups))]
+    return found.filter(_any(whole)).select("doc_id", "paragraph_index")
+
+
+#: Words of a phrase that are looked up together.
+MOST_TERMS = 60
+
+
+def index_hits(index: DataFrame, query: str, mode: Mode = Mode.EXACT_PHRASE, synonyms: list[str] = (), only_synonyms: bool = False) -> DataFrame:
+    """(doc_id, paragraph_index) of the paragraphs that match, from positions() alone, as fts_condition finds them.
+
+    The filters on tokens reach the scan, so of an index written by write_postings only the row
+    groups that may hold them are read. A query without terms finds nothing; one of more than
+    MOST_TERMS words as a phrase raises ValueError.
+    """
+    if synonyms:
+        groups = [t for t in map(_terms, list(synonyms) if only_synonyms else [query, *synonyms]) if t]
+        return _together(index, groups) if groups else index.limit(0).select("doc_id", "paragraph_index")
+    terms = _terms(query)
+    if not terms:
+        return index.limit(0).select("doc_id", "paragraph_index")
+    if mode == Mode.EXACT_PHRASE:
+        if len(terms) > MOST_TERMS:
+            raise ValueError("the phrase is too long")
+        return _runs(index, terms, False)
+    return _together(index, [[t] for t in terms]) if mode == Mode.DIVERSE else by_index(index.withColumn("n", F.lit(1)), terms).select("doc_id", "paragraph_index")
+
+
+def indexed(index: DataFrame, paragraphs: DataFrame, documents: DataFrame, query: str, mode: Mode = Mode.EXACT_PHRASE, synonyms: list[str] = (), only_synonyms: bool = False, limit: int = PAGE, offset: int = 0) -> DataFrame:
+    """What fts() gives, by the inverted index: paragraphs are read for the rows of the page only.
+
+    index is positions(paragraphs), best read from where write_postings put it.
+    """
+    hits = index_hits(index, query, mode, synonyms, only_synonyms)
+    top = page(hits.join(documents.select("doc_id", "ord", "title", "sermon_date", "city"), "doc_id"), limit, offset)
+    # at most PAGE rows
+    shown = paragraphs.select("paragraph_id", "doc_id", "paragraph_index", "content").join(F.broadcast(top), ["doc_id", "paragraph_index"])
+    return page(shown, limit).select("paragraph_id", "doc_id", "paragraph_index", "content", "title", "sermon_date", "city")
+
+
+def more(pages: DataFrame, following: DataFrame) -> DataFrame:
+    """The pages so far with one more after them; a row that is already there isn't repeated."""
+    fresh = following.join(pages.select("paragraph_id").distinct(), "paragraph_id", "left_anti").select(*pages.columns)
+    return pages.unionByName(fresh)
+
+
 def export_lines(results: DataFrame, most: int = 25) -> DataFrame:
     """(n, line) of the first results in page order: '1. title (date) - Para n'."""
     top = results.orderBy(F.desc_nulls_last("sermon_date"), "ord", "paragraph_index").limit(most)

@@ -31,7 +31,10 @@ def glued(docs: DataFrame, separator: str = X.BLANK_LINE) -> Column:
 
 
 def with_offsets(toks: DataFrame) -> DataFrame:
-    """toks with start and end of each token in the glued text."""
+    """toks with start and end of each token in the glued text.
+
+    Tokens of documents that are already distributed by key, as those of ingest.dedupe, aren't shuffled.
+    """
     w = Window.partitionBy("doc_id").orderBy("global_index")
     end = F.sum(F.length("token")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return toks.withColumn("end", end).withColumn("start", F.col("end") - F.length("token"))
@@ -45,19 +48,14 @@ def matching(docs: DataFrame, pattern: str) -> DataFrame:
 def match_spans(docs: DataFrame, pattern: str, text: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, keep…, match_no, start, end, match): every match of a pattern in a text, the glued one unless another is given.
 
-    start and end are counted within a row by a running aggregate, without a shuffle.
+    start and end are sums within a row, without a shuffle.
     """
-    found = X.match_structs(glued(docs) if text is None else text, pattern)
-    step = F.aggregate(
-        found,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,match:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["piece"]) + F.length(x["match"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["piece"])).alias("start"), (acc["at"] + F.length(x["piece"]) + F.length(x["match"])).alias("end"), x["match"].alias("match")))).alias("out"),
-        ),
-    )
-    rows = docs.filter(F.col("text").rlike(X.java(pattern)) if text is None else F.lit(True)).select("doc_id", *keep, F.posexplode(step["out"]).alias("n", "m"))
-    return rows.select("doc_id", *keep, (F.col("n") + 1).cast("long").alias("match_no"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.match").alias("match"))
+    body = glued(docs) if text is None else text
+    found = X.match_structs(body, pattern)
+    held = docs.filter(body.rlike(X.java(pattern))).select("doc_id", *keep, found.alias("f"))
+    ends = X.running(F.transform("f", lambda x: (F.length(x["piece"]) + F.length(x["match"])).cast("long")), True)
+    rows = held.select("doc_id", *keep, F.posexplode(F.arrays_zip(ends.alias("end"), F.col("f"))).alias("n", "m"))
+    return rows.select("doc_id", *keep, (F.col("n") + 1).cast("long").alias("match_no"), (F.col("m.end") - F.length("m.f.match")).alias("start"), F.col("m.end").alias("end"), F.col("m.f.match").alias("match"))
 
 
 def overlaps(toks: DataFrame, spans: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from quire.operators import facets as A
 from quire.operators import ingest as I
 from quire.operators import search as S
 from quire.operators import spans as P
-from quire.session import table
+from quire.session import own_dir, table
+from quire.sources import library as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -286,6 +287,45 @@ def fts_synonyms(spark, d):
     return _fts(spark, d, "rocher", S.Mode.EXACT_PHRASE, ["pierre", "notre mont"])
 
 
+#: Written indexes by application and data directory.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def written_index(spark: SparkSession, d: str) -> DataFrame:
+    """The positions of all paragraphs' tokens, written in ranges of tokens once a session and read from there."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = f"{own_dir(spark)}/index-{len(_INDEXES)}"
+        S.write_postings(S.positions(I.paragraphs(documents(spark, d))), path)
+        _INDEXES[key] = path
+    return spark.read.schema("token string, doc_id string, paragraph_index bigint, positions array<int>").parquet(_INDEXES[key])
+
+
+def _indexed(spark, d, *args, **kwargs) -> DataFrame:
+    docs = documents(spark, d)
+    return S.indexed(written_index(spark, d), I.paragraphs(docs), docs, *args, **kwargs)
+
+
+@query(ORACLE["fts_phrase"])
+def index_phrase(spark, d):
+    return _indexed(spark, d, PHRASE, S.Mode.EXACT_PHRASE)
+
+
+@query(ORACLE["fts_prefix_any"])
+def index_prefix_any(spark, d):
+    return _indexed(spark, d, ANY, S.Mode.DIVERSE)
+
+
+@query(ORACLE["fts_prefix_all"])
+def index_prefix_all(spark, d):
+    return _indexed(spark, d, "puits roch", S.Mode.EXACT_WORDS)
+
+
+@query(ORACLE["fts_synonyms"])
+def index_synonyms(spark, d):
+    return _indexed(spark, d, "rocher", S.Mode.EXACT_PHRASE, ["pierre", "notre mont"])
+
+
 @query()
 def fts_snippet(spark, d):
     return _fts(spark, d, PHRASE, S.Mode.EXACT_PHRASE).select("paragraph_id", S.fts_snippet(F.col("content"), X.norm_text(PHRASE).split()).alias("snippet"))
@@ -455,3 +495,55 @@ def straddling_match(spark, d):
     docs = P.matching(documents(spark, d), X.phrase_pattern(ACROSS))
     met = P.overlaps(P.with_offsets(P.tokens(docs)), P.match_spans(docs, X.phrase_pattern(ACROSS)))
     return met.groupBy("doc_id", "match_no").agg(F.count_distinct("segment_index").alias("k")).filter("k > 1").select("doc_id", "match_no")
+
+
+@query(f"with {PARAS} select paragraph_id, regexp_replace(content, {q(X.phrase_pattern(WORD, exact=True))}, '<mark>\\1</mark>', 'g') as marked from paras")
+def exact_highlight(spark, d):
+    return I.paragraphs(documents(spark, d)).select("paragraph_id", X.highlight(F.col("content"), X.phrase_pattern(WORD, exact=True)).alias("marked"))
+
+
+@query("select cast(3 as integer) as n")
+def active_filters(spark, d):
+    return spark.range(1).select(F.lit(A.active(title="x", city="a", year="1950", audio=True, month="")).alias("n"))
+
+
+@query(f"with {DOCS}, x as (select case when version = 'TLV' then null else doc_id end as doc_id from docs) select doc_id from x where doc_id is not null")
+def null_rows(spark, d):
+    rows = documents(spark, d).withColumn("doc_id", F.when(F.coalesce(F.col("version") == "TLV", F.lit(False)), None).otherwise(F.col("doc_id")))
+    return A.present(rows).select("doc_id")
+
+
+@query(sql_search(sql_holds(["notre"]), X.phrase_pattern("notre"), 40))
+def page_append(spark, d):
+    paras = searchable(spark, d)
+    first, second = (S.scan(paras, "notre", S.Mode.EXACT_PHRASE, limit=20, offset=o) for o in (0, 20))
+    return S.more(first, second)
+
+
+_LIGHTS = "select doc_id, array_to_string(list_transform({}, lambda h: coalesce(h.id, '') || ':' || coalesce(cast(h.first_tok as varchar), '') || '-' || coalesce(cast(h.last_tok as varchar), '') || ':' || coalesce(h.color, '')), ',') as shown from docs"
+
+
+def _lights(docs: DataFrame, lights) -> DataFrame:
+    one = lambda h: F.concat(F.coalesce(h["id"], F.lit("")), F.lit(":"), F.coalesce(h["first_tok"].cast("string"), F.lit("")), F.lit("-"), F.coalesce(h["last_tok"].cast("string"), F.lit("")), F.lit(":"), F.coalesce(h["color"], F.lit("")))
+    return docs.select("doc_id", F.array_join(F.transform(lights, one), ",").alias("shown"))
+
+
+@query(f"with {DOCS} " + _LIGHTS.format("list_append(coalesce(highlights, []), {'id': 'new', 'first_tok': 2, 'last_tok': 5, 'color': 'amber'})"))
+def highlight_add(spark, d):
+    docs = documents(spark, d)
+    return _lights(docs, P.add_highlight(F.col("highlights"), "new", 5, 2))
+
+
+@query(f"with {DOCS} " + _LIGHTS.format("list_filter(highlights, lambda h: coalesce(h.id, '') <> 'hl-52-1')"))
+def highlight_remove(spark, d):
+    docs = documents(spark, d)
+    return _lights(docs, P.remove_highlight(F.col("highlights"), "hl-52-1"))
+
+
+@query(ORACLE["default_fields"])
+def library_import(spark, d):
+    """What a library holds after it was imported twice: both tables of one state."""
+    path = f"{own_dir(spark)}/library"
+    L.import_library(table(spark, d, "library"), path, "last")
+    L.import_library(table(spark, d, "library"), path)
+    return L.stored(spark, path, "documents").select("doc_id", *I.DEFAULTS)

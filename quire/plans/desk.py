@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,9 @@ from quire.operators import router as R
 from quire.operators import search as S
 from quire.operators import spans as P
 from quire.plans.corpus import DOCS, PARAS, STORED, SYNONYMS, documents, q, sql_fts, sql_holds, sql_norm, sql_search, sql_starts, sql_trim, stored_rebuild
-from quire.session import table
+from quire.session import own_dir, table
+from quire.sources import desk as D
+from quire.sources.library import append_messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,6 +92,82 @@ def note_upsert(spark, d):
     return N.upsert(old, citations(spark, d), new, none)[0].select("id", "title", "creation_date")
 
 
+@query(f"""with {NOTES}, {CITES}, new as (select {_NEW} as id from n where color in ('sky', 'teal'))
+select id, note_id, sermon_id from c where note_id is null or note_id not in (select id from new where id is not null)
+union all select c.id || '-again', c.note_id, c.sermon_id from c where note_id in (select id from n where color = 'sky')""")
+def note_upsert_citations(spark, d):
+    """The citations of saved notes are replaced by those they are saved with."""
+    old, held = notes(spark, d), citations(spark, d)
+    new = old.filter(F.col("color").isin("sky", "teal")).withColumn("id", F.when(F.col("color") == "sky", F.col("id")).otherwise(F.concat("id", F.lit("-new"))))
+    sky = old.filter("color = 'sky'").select(F.col("id").alias("note_id"))
+    given = held.join(sky, "note_id", "left_semi").withColumn("id", F.concat("id", F.lit("-again"))).select(*held.columns)
+    return N.upsert(old, held, new, given)[1].select("id", "note_id", "sermon_id")
+
+
+@query(f"""with {NOTES}, {CITES} select id, note_id from c union all
+select 'new-' || c.id, coalesce(c.note_id, '?') from c where c.sermon_id is null and coalesce(c.note_id, '?') in (select id from n)""")
+def citation_append(spark, d):
+    held = citations(spark, d)
+    new = held.filter("sermon_id is null").withColumns({"id": F.concat(F.lit("new-"), "id"), "note_id": F.coalesce("note_id", F.lit("?"))})
+    return N.add_citation(held, notes(spark, d), new).select("id", "note_id")
+
+
+@query("select distinct doc_id, 'definition-' || coalesce(lang, 'x') as definition, 'ia-' || cast(n_chars as varchar) as answer from documents")
+def virtual_sources(spark, d):
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", N.definition_source(F.coalesce("lang", F.lit("x"))).alias("definition"), N.answer_source(F.col("n_chars")).alias("answer")).distinct()
+
+
+@query(f"""with {NOTES}, {CITES} select n.id, n.title, n.note_order, count(c.id) as n_citations from n left join c on c.note_id = n.id where n.id is not null group by 1, 2, 3""")
+def json_notes(spark, d):
+    """Notes with their citations written as JSON and read again."""
+    path = f"{own_dir(spark)}/notes-json"
+    nested = N.with_citations(notes(spark, d).filter("id is not null"), citations(spark, d))
+    nested.select("id", "title", "content", "color", F.col("note_order").alias("order"), F.col("creation_date").alias("creationDate"), F.col("note_date").alias("date"), "citations").write.mode("overwrite").json(path)
+    read, cites = D.read_notes(spark, path, lines=True)
+    return N.with_citations(read, cites, ("id",)).select("id", "title", "note_order", F.size("citations").cast("long").alias("n_citations"))
+
+
+_RAW = "case when doc_id % 7 = 0 then '{bad' when doc_id % 5 = 0 then '{}' else '{\"word\":\"' || case when doc_id % 2 = 0 then 'MOT' else 'mot' end || (doc_id % 40) || '\",\"definition\":\"d' || doc_id || '\",\"seq\":' || doc_id || '}' end"
+
+
+@query("select lower('mot' || (doc_id % 40)) as word, 'd' || max(doc_id) as definition from documents where doc_id % 7 <> 0 and doc_id % 5 <> 0 group by 1")
+def definition_cache(spark, d):
+    """The latest definition of each word in a column of JSON, some of it bad."""
+    raw = table(spark, d, "documents").select(F.expr(_RAW).alias("value"))
+    held = D.definitions(raw)
+    return D.put_definition(held.filter("seq % 2 = 0"), held.filter("seq % 2 = 1")).select("word", "definition")
+
+
+@query("select coalesce(sermon_id, 'global') as chat_key, doc_id as seq from documents where doc_id is not null")
+def chat_append(spark, d):
+    path = f"{own_dir(spark)}/chat-{uuid.uuid4().hex}"
+    for k in (0, 1):
+        append_messages(messages(spark, d).filter(F.pmod("seq", F.lit(2)) == k), path)
+    return spark.read.parquet(path).select("chat_key", "seq")
+
+
+@query(f"""with {DOCS}, s as (select doc_id, [{{'title': title, 'uri': audio_url}}, {{'title': null, 'uri': 'x'}}] as a from docs)
+select doc_id, array_to_string(list_transform(list_filter(a, lambda x: x.uri is not null), lambda x: case when x.title <> '' then x.title else 'Source Web' end || ' ' || x.uri), ',') as shown from s""")
+def web_sources(spark, d):
+    one = F.array(F.struct("title", F.col("audio_url").alias("uri")), F.struct(F.lit(None).cast("string").alias("title"), F.lit("x").alias("uri")))
+    found = C.web_sources(one)
+    return documents(spark, d).select("doc_id", F.array_join(F.transform(found, lambda s: F.concat(s["title"], F.lit(" "), s["uri"])), ",").alias("shown"))
+
+
+@query(f"with {DOCS} select distinct doc_id from docs where audio_url <> ''")
+def context_replace(spark, d):
+    docs = documents(spark, d)
+    return N.replace_ids(docs.filter("version = 'TLV'"), docs.filter(X.given(F.col("audio_url"))))
+
+
+@query(f"""with {CITES}, g as (select note_id, list_sort(list_distinct(list(sermon_id))) as ids from c where note_id is not null and sermon_id is not null group by 1)
+select note_id, case when ids = ['57-0000-recueil'] then '' else '57-0000-recueil' end as ids from g""")
+def context_toggle_single(spark, d):
+    held = citations(spark, d).filter("note_id is not null and sermon_id is not null").groupBy("note_id").agg(F.array_sort(F.collect_set("sermon_id")).alias("ids"))
+    return held.select("note_id", F.array_join(N.toggle(F.col("ids"), F.lit("57-0000-recueil"), True), ",").alias("ids"))
+
+
 @query(f"with {NOTES}, {CITES} select c.id, c.note_id from c where c.note_id is null or c.note_id not in (select id from n where color = 'sky' and id is not null)")
 def note_delete(spark, d):
     gone = notes(spark, d).filter("color = 'sky'").select("id")
@@ -118,15 +197,15 @@ def note_reorder(spark, d):
 
 
 @query(f"""with {PARAS} select p.doc_id as sermon_id, d.title as sermon_title_snapshot, d.sermon_date as sermon_date_snapshot, d.version as sermon_version_snapshot, p.content as quoted_text, p.paragraph_index
-from paras p join docs d using (doc_id) where p.paragraph_index = 2""")
+from paras p join docs d using (doc_id)""")
 def citation_snapshot(spark, d):
     docs = documents(spark, d)
-    return N.snapshot(docs, I.paragraphs(docs).filter("paragraph_index = 2"))
+    return N.snapshot(docs, I.paragraphs(docs))
 
 
-@query(f"with {NOTES} select id, lower(regexp_replace(title, {q('[' + X.WS + ']+')}, '_', 'g')) as file_name from n where title is not null")
+@query(f"with {NOTES} select id, lower(regexp_replace(title, {q('[' + X.WS + ']+')}, '_', 'g')) as file_name from n")
 def note_file_names(spark, d):
-    return notes(spark, d).filter("title is not null").select("id", N.file_name(F.col("title")).alias("file_name"))
+    return notes(spark, d).select("id", N.file_name(F.col("title")).alias("file_name"))
 
 
 @query(f"""with {NOTES}, {CITES} select n.id, lower(regexp_replace(coalesce(n.title, ''), {q('[' + X.WS + ']+')}, '_', 'g')) as file_name,
@@ -208,11 +287,11 @@ _PREFS = f"""t as (select distinct 'n' || id as key, regexp_replace(content, {q(
 prefs as (select key, k as ref_no, regexp_extract_all(s, {q(_PLAIN)}, 1)[k] as ref_id from t, unnest(range(1, len(regexp_extract_all(s, {q(_PLAIN)})) + 1)) u(k))"""
 
 
-@query(f"with {_PREFS}, k as (select distinct id from sermons) select key, ref_no, ref_id, k.id is not null as known from prefs left join k on k.id = ref_id")
+@query(f"with {_PREFS}, {_SERMONS} select key, ref_no, ref_id, '[' || case when s.doc_id is not null then coalesce(s.title, '') else ref_id end || ']' as label from prefs left join s on s.doc_id = ref_id")
 def reference_titles(spark, d):
     without = _texts(spark, d).select("key", F.regexp_replace("s", _CUT, "").alias("s")).distinct()
     found = C.titles(C.plain_references(without, "key", "s"), sermons(spark, d))
-    return found.select("key", "ref_no", "ref_id", (F.col("label") != F.concat(F.lit("["), "ref_id", F.lit("]"))).alias("known"))
+    return found.select("key", "ref_no", "ref_id", "label")
 
 
 @query(f"""with {CITES}, {DOCS}, own as (
@@ -284,10 +363,10 @@ def first_word(spark, d):
     return citations(spark, d).select("id", X.first_word(F.col("quoted_text")).alias("word")).distinct()
 
 
-@query("select distinct value, case when value is null or isnan(value) then '0:00' else cast(floor(value / 60) as bigint) || ':' || lpad(cast(cast(floor(value) as bigint) % 60 as varchar), 2, '0') end as shown from events where value is null or value >= 0")
+@query("""with v as (select distinct value, cast(floor(value / 60) as bigint) as m, cast(floor(value) as bigint) as w from events)
+select value, case when value is null or isnan(value) then '0:00' else m || ':' || case when length(cast(w % 60 as varchar)) < 2 then '0' || (w % 60) else cast(w % 60 as varchar) end end as shown from v""")
 def time_format(spark, d):
-    rows = table(spark, d, "events").filter("value is null or value >= 0")
-    return rows.select("value", X.minutes(F.col("value")).alias("shown")).distinct()
+    return table(spark, d, "events").select("value", X.minutes(F.col("value")).alias("shown")).distinct()
 
 
 @query(f"with {DOCS} select doc_id, case substr(sermon_date, 6, 2) " + " ".join(f"when '{i:02d}' then {q(m)}" for i, m in enumerate(X.MONTHS["en"], 1)) + " end as month from docs")
@@ -326,23 +405,24 @@ def paragraph_content(spark, d):
 
 def _routed(spark: SparkSession, d: str, request: R.Request) -> DataFrame:
     docs = documents(spark, d)
-    return R.search(I.paragraphs(docs), docs, request, SYNONYMS).select("paragraph_id", "doc_id", "paragraph_index", "title", "sermon_date", "city")
+    return R.search(I.paragraphs(docs), docs, request, SYNONYMS)
 
 
 _SHOWN = "select paragraph_id, doc_id, paragraph_index, title, sermon_date, city from"
 
 
-@query(f"{_SHOWN} ({sql_search(sql_holds(['rocher', *S.synonyms_of(SYNONYMS, 'rocher')]), None)})")
+@query(sql_search(sql_holds(['rocher', *S.synonyms_of(SYNONYMS, 'rocher')]), X.words_pattern(" ".join(["rocher", *S.synonyms_of(SYNONYMS, 'rocher')]))))
 def route_scan_synonyms(spark, d):
     return _routed(spark, d, R.Request("rocher", synonyms=True))
 
 
 @query(f"{_SHOWN} ({sql_fts(sql_starts(['lumiere']))})")
 def route_fts(spark, d):
-    return _routed(spark, d, R.Request("lumière", S.Mode.DIVERSE, engine="fts"))
+    # the snippets of the token engine have no SQL
+    return _routed(spark, d, R.Request("lumière", S.Mode.DIVERSE, engine="fts")).drop("snippet")
 
 
-@query(f"{_SHOWN} ({sql_search(sql_holds(['umier']), None)})")
+@query(sql_search(sql_holds(['umier']), X.phrase_pattern("umier")))
 def route_fallback(spark, d):
     """Tokens don't find the middle of a word; the scan does."""
     return _routed(spark, d, R.Request("umier", engine="auto"))
@@ -350,7 +430,16 @@ def route_fallback(spark, d):
 
 @query("select cast(null as varchar) as paragraph_id, cast(null as varchar) as doc_id, cast(null as bigint) as paragraph_index, cast(null as varchar) as title, cast(null as varchar) as sermon_date, cast(null as varchar) as city where false")
 def route_short(spark, d):
-    return _routed(spark, d, R.Request("x"))
+    return _routed(spark, d, R.Request("x")).drop("snippet")
+
+
+@query(sql_search(sql_holds(["puits"]), X.phrase_pattern("puits")))
+def kept_results(spark, d):
+    """The page that was asked for before, kept in memory."""
+    docs = documents(spark, d)
+    kept = R.Kept(I.paragraphs(docs), docs)
+    kept.search(R.Request("puits"))
+    return kept.search(R.Request("puits"))
 
 
 _QUOTES = """quo as (select distinct id as quote_id, note_id, trim(sermon_id) as doc_id, quoted_text as quote from citations where quoted_text <> ''),
@@ -399,7 +488,7 @@ def facet_month_version(spark, d):
     return A.filtered(documents(spark, d), month="04", version="TLV").filter(X.given(F.col("city"))).select("doc_id")
 
 
-@query("select distinct doc_id, n_chars, least(150.0, greatest(8.0, sqrt(n_chars))) as size from documents where n_chars is not null")
+@query("select distinct doc_id, n_chars, case when n_chars is not null then least(150.0, greatest(8.0, sqrt(n_chars))) end as size from documents")
 def clamped_size(spark, d):
-    rows = table(spark, d, "documents").filter("n_chars is not null")
+    rows = table(spark, d, "documents")
     return rows.select("doc_id", "n_chars", X.clamp(F.sqrt("n_chars"), 8.0, 150.0).alias("size")).distinct()

@@ -65,7 +65,9 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
-        # only on a single machine, as in tests; gone when the program ends
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # a single machine, as in tests; gone when the program ends
         own = tempfile.mkdtemp(prefix="quire-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         path = "file://" + own
@@ -73,13 +75,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/quire-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     Cuts the lineage and avoids recomputing a plan that several branches use. The files are
     shared by all executors, so losing one of them loses nothing.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quire-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -93,17 +100,16 @@ def as_ntz(col):
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables that materialize() wrote to the shared folder; the number of them.
+    """Delete the tables that materialize() wrote in this application; the number of them.
 
     Results that were read from them and not yet written elsewhere are lost. Call it between
     queries of a long-lived session.
     """
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(folder):
         return 0
-    held = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("quire-")]
-    for path in held:
-        fs.delete(path, True)
-    return len(held)
+    held = fs.listStatus(folder)
+    n = len(held)
+    fs.delete(folder, True)
+    return n

@@ -12,9 +12,9 @@ _CITATION = "id:string,sermon_id:string,sermon_title_snapshot:string,sermon_date
 NOTES_JSON = f"id string, title string, content string, color string, `order` int, creationDate string, date string, citations array<struct<{_CITATION}>>"
 
 
-def read_notes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(notes, citations) of a JSON file of notes with nested citations; unreadable records give nothing."""
-    raw = spark.read.schema(NOTES_JSON).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+def read_notes(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(notes, citations) of a JSON file of notes with nested citations, or of one note a line; unreadable records give nothing."""
+    raw = spark.read.schema(NOTES_JSON).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path)
     notes = raw.select("id", "title", "content", "color", F.col("order").alias("note_order"), F.col("creationDate").alias("creation_date"), F.col("date").alias("note_date"))
     cites = raw.select(F.col("id").alias("note_id"), F.explode("citations").alias("c"))
     return notes, cites.select("c.id", "note_id", *[f"c.{n}" for n in ("sermon_id", "sermon_title_snapshot", "sermon_date_snapshot", "sermon_version_snapshot", "quoted_text", "date_added", "paragraph_index")])

@@ -218,8 +218,28 @@ def test_json_library(spark, tmp_path):
     out = str(tmp_path / "lib")
     assert not L.is_ready(spark, out)
     assert L.import_library(got, out) == 3 and L.is_ready(spark, out)
-    assert spark.read.parquet(out + "/documents").count() == 2 and spark.read.parquet(out + "/paragraphs").count() == 3
-    assert L.import_library(got.limit(1), out) == 1 and spark.read.parquet(out + "/documents").count() == 1
+    assert L.stored(spark, out, "documents").count() == 2 and L.stored(spark, out, "paragraphs").count() == 3
+    before = L.stored(spark, out, "documents")
+    assert L.import_library(got.limit(1), out) == 1 and L.stored(spark, out, "documents").count() == 1 and L.stored(spark, out, "paragraphs").count() == 2
+    # who reads the state before goes on reading it
+    assert before.count() == 2
+
+
+def test_several_library_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"id": "x", "title": name}, {"id": name, "title": name}]))
+    got = L.read_json(spark, str(tmp_path))
+    assert [r["title"] for r in got.orderBy("ord").collect()] == ["a", "a", "b", "b"] and got.select("ord").distinct().count() == 4
+    kept = I.dedupe(I.with_key(got))
+    assert rows(kept, "doc_id", "title") == [("a", "a"), ("b", "b"), ("x", "a")]
+    assert rows(I.dedupe(I.with_key(got), "last"), "doc_id", "title") == [("a", "a"), ("b", "b"), ("x", "b")]
+
+
+def test_a_match_across_paragraphs_is_found(spark):
+    docs = spark.createDataFrame([("d", "xa\n\nbx"), ("e", "ab"), ("f", None), ("g", "")], "doc_id string, text string")
+    assert rows(P.match_spans(docs, "(?i)(ab)"), "doc_id", "match_no", "start", "end") == [("d", 1, 1, 3), ("e", 1, 0, 2)]
+    many = spark.createDataFrame([("m", "ab-" * 1000)], "doc_id string, text string")
+    assert rows(P.match_spans(many, "(?i)(ab)"), "start") == [(3 * k,) for k in range(1000)]
 
 
 @pytest.mark.parametrize("text", ['{"id": "a"}', "[{", "not json"])

@@ -26,7 +26,7 @@ def test_core_does_not_import_llm():
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["paragraph_id", "doc_id", "paragraph_index", "snippet", "title", "sermon_date", "city"]
-    df.collect()
+    assert df.count() > 0
 
 
 def test_llm_queries_are_there_if_the_folder_is():

@@ -121,3 +121,39 @@ def test_index_is_the_token_engine(spark, paras, tmp_path):
         assert sorted((r[0], r[1]) for r in got.select("doc_id", "paragraph_index").collect()) == sorted((r[0], r[1]) for r in want.select("doc_id", "paragraph_index").collect())
     plan = S.by_index(index, ["roi"])._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(token,roi)" in plan
+
+
+def rows(df, *cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def test_index_finds_what_tokens_do(spark, tmp_path):
+    texts = ["Éternel Dieu, notre rocher", "dieu éternel; le rocher", "notre Dieu notre rocher est notre rocher", "rien", "", "notre mont est haut", "pierre"]
+    docs = spark.createDataFrame([(f"d{i}", i, "t", f"19{i:02d}-01-01", "c", t) for i, t in enumerate(texts)], "doc_id string, ord long, title string, sermon_date string, city string, text string")
+    paras = I.paragraphs(docs)
+    path = str(tmp_path / "index")
+    S.write_postings(S.positions(paras), path)
+    index = spark.read.parquet(path)
+    asked = [("eternel dieu", S.Mode.EXACT_PHRASE, ()), ("notre rocher", S.Mode.EXACT_PHRASE, ()), ("notre roch", S.Mode.EXACT_PHRASE, ()), ("rien", S.Mode.EXACT_PHRASE, ()), ("roch haut", S.Mode.DIVERSE, ()), ("roch not", S.Mode.EXACT_WORDS, ()), ("!", S.Mode.DIVERSE, ()), ("rocher", S.Mode.PARTIAL, ("pierre", "notre mont"))]
+    for query, mode, also in asked:
+        cols = ("paragraph_id", "content", "sermon_date")
+        assert rows(S.indexed(index, paras, docs, query, mode, also), *cols) == rows(S.fts(paras, docs, query, mode, also), *cols), query
+    plan = S.index_hits(index, "roch", S.Mode.DIVERSE)._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(token,roch)" in plan and "text" not in plan
+    plan = S.index_hits(index, "notre rocher")._jdf.queryExecution().executedPlan().toString()
+    assert "In(token, [notre,rocher])" in plan
+
+
+def test_more_pages(spark):
+    a = spark.createDataFrame([("p1", 1), ("p2", 2)], "paragraph_id string, n int")
+    b = spark.createDataFrame([("p2", 2), ("p3", 3)], "paragraph_id string, n int")
+    assert rows(S.more(a, b), "paragraph_id", "n") == [("p1", 1), ("p2", 2), ("p3", 3)]
+
+
+def test_snippet_has_the_most_hits(spark):
+    words = [f"w{i}" for i in range(400)]
+    for i in (10, 250, 260, 262):
+        words[i] = "hit"
+    df = spark.createDataFrame([(" ".join(words),)], "c string")
+    got = df.select(S.fts_snippet(F.col("c"), ["hit"]).alias("s")).collect()[0]["s"]
+    assert got.count("<mark>") == 3 and len(got.replace("...", "").split()) == 96
