@@ -106,10 +106,10 @@ def stored(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/{current(spark, path)}/{name}")
 
 
-def swap(spark: SparkSession, new: str, path: str) -> None:
-    """Put the folder new in the place of path; between two renames there is neither."""
+def swap(spark: SparkSession, new: str, path: str, aside: str | None = None) -> None:
+    """Put the folder new in the place of path, the old one aside meanwhile; between two renames there is neither."""
     fs, to = _file_system(spark, path)
-    old = spark._jvm.org.apache.hadoop.fs.Path(path + ".old-" + uuid.uuid4().hex)
+    old = spark._jvm.org.apache.hadoop.fs.Path(aside or path + ".old-" + uuid.uuid4().hex)
     had = fs.exists(to)
     if had:
         fs.rename(to, old)
@@ -126,6 +126,16 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Overwrite a table that df may itself be read from; it is written beside it first, on the same file system."""
     path = path.rstrip("/")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,16 +25,31 @@ def first_records(records: DataFrame, at: str, late: str = "1 day") -> DataFrame
     return I.with_key(records).withWatermark(at, late).dropDuplicatesWithinWatermark(["doc_id"])
 
 
+#: Parts of a folder of last states.
+BUCKETS = 64
+
+
 def last_states(states: DataFrame, path: str, checkpoint: str, key: str = "window_id", order: str = "seq"):
-    """Start a query that keeps the last state of each key in a Parquet folder."""
-    from quire.sources.library import replace_table
+    """Start a query that keeps the last state of each key in a Parquet folder, cut into BUCKETS parts by key.
+
+    A batch rewrites the parts of its own keys only, each swapped in whole; a batch that comes
+    again after a failure changes nothing more. The folder has one more column, bucket.
+    """
+    from quire.sources.library import exists, remove, swap
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        held = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-        both = spark.read.parquet(path).unionByName(batch) if held else batch
-        replace_table(I.latest(both, key, order), path)
+        new = I.latest(batch, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).persist()
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        held = [f"{path}/bucket={k}" for k in touched if exists(spark, f"{path}/bucket={k}")]
+        both = spark.read.schema(new.schema).option("basePath", path).parquet(*held).select(*new.columns).unionByName(new) if held else new
+        stage = f"{path}.new-{uuid.uuid4().hex}"
+        I.latest(both, key, order).repartition("bucket").write.partitionBy("bucket").parquet(stage)
+        for k in touched:
+            # outside the folder, as readers look at all of it
+            swap(spark, f"{stage}/bucket={k}", f"{path}/bucket={k}", f"{stage}/old-{k}")
+        remove(spark, stage)
+        new.unpersist()
 
     return states.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -271,3 +271,7 @@ def test_stream_of_records(spark, tmp_path):
     q = G.last_states(spark.readStream.schema("window_id string, seq int, state string").parquet(states), str(tmp_path / "last"), str(tmp_path / "c2"))
     q.awaitTermination(60)
     assert rows(spark.read.parquet(str(tmp_path / "last")), "window_id", "state") == [("v", "only"), ("w", "new")]
+    spark.createDataFrame([("w", 3, "newer"), ("w", 0, "late"), ("u", 1, "first")], "window_id string, seq int, state string").write.mode("append").parquet(states)
+    q = G.last_states(spark.readStream.schema("window_id string, seq int, state string").parquet(states), str(tmp_path / "last"), str(tmp_path / "c2"))
+    q.awaitTermination(60)
+    assert rows(spark.read.parquet(str(tmp_path / "last")), "window_id", "state") == [("u", "first"), ("v", "only"), ("w", "newer")]
