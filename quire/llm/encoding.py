@@ -34,18 +34,23 @@ REMEMBERED = 300_000
 _split = regex.compile(PATTERN)
 
 
-@functools.lru_cache(4)
-def ranks(path: str) -> dict[bytes, int]:
-    """The vocabulary of a rank file."""
+def _content(path: str) -> bytes:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return f.read()
+
+
+@functools.lru_cache(4)
+def ranks(source: str | bytes) -> dict[bytes, int]:
+    """The vocabulary of a rank file, given by its path or content."""
+    content = source if isinstance(source, bytes) else _content(source)
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
 
 
 @functools.lru_cache(4)
-def encoder(path: str):
+def encoder(source: str | bytes):
     import tiktoken
 
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks(source), special_tokens={})
 
 
 def vocabulary_path(name: str = VOCABULARY, folder: str | None = None) -> str:
@@ -94,8 +99,8 @@ def pretokens(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str
 class Pieces:
     """Ids of distinct pre-tokens, kept as one flat array with bounds."""
 
-    def __init__(self, path: str):
-        self.bpe, self.known = encoder(path)._core_bpe, ranks(path)
+    def __init__(self, source: str | bytes):
+        self.bpe, self.known = encoder(source)._core_bpe, ranks(source)
         self.clear()
 
     def clear(self) -> None:
@@ -143,15 +148,16 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str
 
     No special tokens are added, and their strings in a text are ordinary text. Null and empty
     texts give an empty array, never null. Texts of any length are encoded whole. A column already
-    named ids, in any case, is replaced. Rows keep their number; there is no shuffle.
+    named ids, in any case, is replaced. Rows keep their number; there is no shuffle. The vocabulary,
+    a file of a few MB, is read by the driver and sent to the workers.
     """
-    path = vocabulary_path(vocabulary, folder)
+    shared = df.sparkSession.sparkContext.broadcast(_content(vocabulary_path(vocabulary, folder)))
     kept = [c for c in df.columns if c.lower() != ids.lower() and c != text]
     source = df.select(*[f"`{c}`" for c in [*kept, text]])
     schema = T.StructType([*[source.schema[c] for c in kept], T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches):
-        pieces = Pieces(path)
+        pieces = Pieces(shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
@@ -169,13 +175,13 @@ def decode(ids: list[int], vocabulary: str = VOCABULARY, folder: str | None = No
 
 def decode_column(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
     """df with the text of column ids in the new last column text; null ids give null."""
-    path = vocabulary_path(vocabulary, folder)
+    shared = df.sparkSession.sparkContext.broadcast(_content(vocabulary_path(vocabulary, folder)))
     kept = [c for c in df.columns if c.lower() != text.lower()]
     source = df.select(*[f"`{c}`" for c in kept])
     schema = T.StructType([*source.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(shared.value)
         for b in batches:
             said = [None if x is None else enc.decode_bytes(x).decode("utf-8", "replace") for x in b.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], names=[*kept, text])

@@ -189,7 +189,20 @@ with r as (
 g as (select distinct rec, s, md5(t[s : s + 149]) as h from r, unnest(generate_series(1, length(t) - 149)) u(s)),
 w as (select distinct x.rec as rec_a, y.rec as rec_b, x.s as a, y.s as b from g x join g y on x.h = y.h and x.rec < y.rec)"""
 
+_P2_PAIRS = """,
+o as (select x.ord as a, y.ord as b, count(*) as k from g x join g y on x.t = y.t and x.ord < y.ord group by 1, 2),
+p as (select a, b from o join n na on na.ord = a join n nb on nb.ord = b where k >= 0.75 * (na.n + nb.n - k)),
+e as (select a, b from p union all select b, a from p),
+c(ord, other) as (select a, a from e union select e.b, c.other from c join e on e.a = c.ord),
+m as (select ord, min(other) as group_id from c group by 1)"""
+
 ORACLE = {
+    "p2_groups": _P2.replace("with ", "with recursive ", 1) + _P2_PAIRS + """
+select ord, group_id, (select count(*) from e where e.a = m.ord) as n_links from m""",
+    "p2_versions": _P2.replace("with ", "with recursive ", 1) + _P2_PAIRS + """,
+k as (select distinct ord, case when version <> '' then id || '-' || version else id end as id from library),
+v as (select distinct id, coalesce(version, '') as version from sermons)
+select group_id, v.version, count(distinct m.ord) as n_records from m join k using (ord) join v using (id) group by 1, 2""",
     "p2_found": _P2 + """
 select a as ord_a, b as ord_b from (select x.ord as a, y.ord as b, count(*) as k from g x join g y on x.t = y.t and x.ord < y.ord group by 1, 2) o
 join n na on na.ord = a join n nb on nb.ord = b where k >= 0.75 * (na.n + nb.n - k)""",
@@ -211,5 +224,9 @@ e as (select rec, s, coalesce(lead(s) over (partition by rec order by s), s + 15
 k as (select rec, sum(least(n - s, 150)) as n from e group by 1),
 z as (select rec, coalesce(max(length(t)), 0) as n_chars from (select 'p' || id as rec, content as t from paragraphs union all select 'c' || id, quoted_text from citations) where rec is not null group by 1)
 select z.rec, n_chars, cast(coalesce(k.n, 0) as bigint) as n_shared from z left join k using (rec)""",
+    "p8_leaks": _P8.replace("select doc_id, array_to_string", "select doc_id, s, array_to_string") + """,
+p as (select distinct doc_id, item_id, s from dr join ir using (r)),
+e as (select doc_id, item_id, s, coalesce(lead(s) over (partition by doc_id, item_id order by s), s + 12) as n from p)
+select doc_id, item_id, cast(sum(least(n - s, 12)) as bigint) as n_words from e group by 1, 2""",
     "p8_found": _P8 + "select distinct doc_id, item_id from dr join ir using (r)",
 }

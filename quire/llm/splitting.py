@@ -138,7 +138,9 @@ def pieces(df: DataFrame, key: list[str], text: str, limit: int, overlap: int, b
     """
     cols = [F.col(f"`{k}`") for k in key]
     source = df.select(*cols, F.col(f"`{text}`").alias("content"))
-    large = source.filter(F.length("content") > limit).dropDuplicates()
+    # few texts are much work: a fixed number of partitions, by key and length, which also serves to find repeated rows
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = source.filter(F.length("content") > limit).withColumn("_n", F.length("content")).repartition(n, *cols, "_n").dropDuplicates().drop("_n")
     schema = T.StructType([*[source.schema[k] for k in key], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("content", T.StringType())])
 
     def run(frames):
