@@ -34,23 +34,27 @@ REMEMBERED = 500_000
 _WORD = re.compile(r"[^\W_]+")
 
 
+class _Hashes(dict):
+    """The hash of each word, made when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
 class Shingles:
     """Sorted distinct 64-bit hashes of the word sequences of a text."""
 
     def __init__(self, words: int):
-        self.words, self.seen = words, {}
+        self.words, self.seen = words, _Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         w = _WORD.findall(text.lower()) if text else []
         if len(w) < self.words:
             return np.empty(0, np.int64)
         if len(self.seen) > REMEMBERED:
-            self.seen = {}
-        seen = self.seen
-        for x in set(w):
-            if x not in seen:
-                seen[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
-        h = np.array([seen[x] for x in w], np.uint64)
+            self.seen.clear()
+        h = np.fromiter(map(self.seen.__getitem__, w), np.uint64, len(w))
         out = np.zeros(len(h) - self.words + 1, np.uint64)
         for k in range(self.words):
             out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
@@ -286,12 +290,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, threshol
     rows count once, and a key that stands with several texts is linked by each of them; other
     columns are ignored; an empty table gives empty results.
     """
-    sets = materialize(shingles(df, key, text, words))
+    sets = materialize(shingles(df, key, text, words).withColumn("uid", F.monotonically_increasing_id()))
     members = classes(sets)
-    # one row of each set, found by ids alone
-    once = members.groupBy("rep").agg(F.min("id").alias("id"))
-    distinct = materialize(sets.join(once, ["rep", "id"], "left_semi").select("rep", "n", "tokens").dropDuplicates(["rep"]))
-    return members, similar(distinct, threshold)
+    # one row of each set: the few others are left out by their numbers
+    first = sets.groupBy("rep").agg(F.min("uid").alias("first"), F.count("*").alias("k")).filter("k > 1")
+    other = materialize(sets.select("rep", "uid").join(first, "rep").filter("uid <> first").select("uid"))
+    return members, similar(sets.join(other, "uid", "left_anti").select("rep", "n", "tokens"), threshold)
 
 
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
