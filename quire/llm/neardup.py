@@ -28,6 +28,8 @@ GROUP = 64
 SEVERAL = 0.05
 #: Records that one copy of a group is compared with, about, and tokens that are compared at once.
 ASKED, AT_ONCE = 4_000, 3_000_000
+#: Bits of a token's hash that stand below its frequency.
+HELD = 57
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 500_000
 
@@ -121,14 +123,16 @@ def shared_tokens(sets: DataFrame, threshold: float) -> DataFrame:
     """(rep, n, s): of each distinct set the tokens that stand in another set too, the rarest first.
 
     Sets in which these are fewer than any partner must share have no partner and are left out. So
-    tokens that stand all over the corpus are hardly looked up.
+    tokens that stand all over the corpus are hardly looked up. In s a token is one number: the
+    logarithm of its frequency and below it HELD bits of its hash, so numbers are in order of frequency.
     """
     each = sets.select("rep", F.explode("tokens").alias("t"))
-    df = each.groupBy("t").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
+    df = each.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
+    number = F.shiftleft(F.floor(F.log2("df")), HELD) + F.shiftrightunsigned("t", 64 - HELD)
     # counts are unique and spread evenly, so a partition of them fits a hash table; tokens need no sort
-    held = each.join(df.hint("shuffle_hash"), "t").groupBy("rep").agg(F.collect_list(F.struct("df", "t")).alias("s"))
+    held = each.join(df.hint("shuffle_hash"), "t").groupBy("rep").agg(F.collect_list(number).alias("s"))
     held = held.join(sets.select("rep", "n"), "rep").filter(F.size("s") >= _least(F.col("n"), threshold))
-    return held.select("rep", "n", F.sort_array("s").getField("t").alias("s"))
+    return held.select("rep", "n", F.sort_array("s").alias("s"))
 
 
 def similar(sets: DataFrame, threshold: float = 0.8, group: int = GROUP) -> DataFrame:
@@ -140,7 +144,8 @@ def similar(sets: DataFrame, threshold: float = 0.8, group: int = GROUP) -> Data
     held = materialize(shared_tokens(sets, threshold))
     # groups: the same least lookup token and about the same size, split to about `group` members
     by, most = _lookup(_least(n, threshold)), _lookup(_least_of_smaller(n, threshold))
-    seeds = held.select("rep", F.array_min(by).alias("seed"), F.floor(F.log("n") / F.log(F.lit(1 / threshold))).alias("band"))
+    seed = F.array_min(F.transform(by, lambda t: t.bitwiseAND(F.lit((1 << HELD) - 1))))
+    seeds = held.select("rep", seed.alias("seed"), F.floor(F.log("n") / F.log(F.lit(1 / threshold))).alias("band"))
     size = seeds.groupBy("seed", "band").agg(F.count("*").alias("k"))
     gid = F.xxhash64("seed", "band", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / group)))
     member = materialize(held.join(seeds.join(size, ["seed", "band"]).select("rep", gid.alias("gid")), "rep").select("rep", "n", "s", "gid"))
