@@ -402,8 +402,8 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     run = _on_executors(spark)
     model = _model(words, y, run)
     if 0 < y.count(1) < ENOUGH and y.count(0):
-        others = texts.join(decided.select(key), key, "left_anti").groupBy(key).agg(F.min("text").alias("text"))
-        others = _bounded(others.orderBy(F.xxhash64(key), key).limit(UNLABELLED), key)
+        asked = texts.select(key).join(decided.select(key), key, "left_anti").distinct().orderBy(F.xxhash64(key), key).limit(UNLABELLED)
+        others = _bounded(texts.join(F.broadcast(asked), key).groupBy(key).agg(F.min("text").alias("text")), key)
         scored = score(others, model, key).select(key, "score").filter(F.abs("score") > SURE)
         sure = scored.withColumn("y", (F.col("score") > 0).cast("int")).withColumn("_n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(key), key))).filter(F.col("_n") <= TAKEN)
         more = sorted(_words(others.join(F.broadcast(sure.select(key, "y")), key).select(key, "y", "text")).collect(), key=lambda r: str(r[key]))
