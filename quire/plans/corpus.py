@@ -5,6 +5,7 @@ Both sides are built from the same literals; the SQL is written for DuckDB.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -294,8 +295,8 @@ _INDEXES: dict[tuple[str, str], str] = {}
 def written_index(spark: SparkSession, d: str) -> DataFrame:
     """The positions of all paragraphs' tokens, written in ranges of tokens once a session and read from there."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        path = f"{own_dir(spark)}/index-{len(_INDEXES)}"
+    if key not in _INDEXES or not L.exists(spark, _INDEXES[key]):
+        path = f"{own_dir(spark)}/index-{uuid.uuid4().hex}"
         S.write_postings(S.positions(I.paragraphs(documents(spark, d))), path)
         _INDEXES[key] = path
     return spark.read.schema("token string, doc_id string, paragraph_index bigint, positions array<int>").parquet(_INDEXES[key])
@@ -543,7 +544,7 @@ def highlight_remove(spark, d):
 @query(ORACLE["default_fields"])
 def library_import(spark, d):
     """What a library holds after it was imported twice: both tables of one state."""
-    path = f"{own_dir(spark)}/library"
+    path = f"{own_dir(spark)}/library-{uuid.uuid4().hex}"
     L.import_library(table(spark, d, "library"), path, "last")
     L.import_library(table(spark, d, "library"), path)
     return L.stored(spark, path, "documents").select("doc_id", *I.DEFAULTS)

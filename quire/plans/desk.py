@@ -121,7 +121,7 @@ def virtual_sources(spark, d):
 @query(f"""with {NOTES}, {CITES} select n.id, n.title, n.note_order, count(c.id) as n_citations from n left join c on c.note_id = n.id where n.id is not null group by 1, 2, 3""")
 def json_notes(spark, d):
     """Notes with their citations written as JSON and read again."""
-    path = f"{own_dir(spark)}/notes-json"
+    path = f"{own_dir(spark)}/notes-{uuid.uuid4().hex}"
     nested = N.with_citations(notes(spark, d).filter("id is not null"), citations(spark, d))
     nested.select("id", "title", "content", "color", F.col("note_order").alias("order"), F.col("creation_date").alias("creationDate"), F.col("note_date").alias("date"), "citations").write.mode("overwrite").json(path)
     read, cites = D.read_notes(spark, path, lines=True)
