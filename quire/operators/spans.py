@@ -11,6 +11,10 @@ from quire.functions import text as X
 QUOTES = 2_000
 #: Characters of a bin by which spans and tokens meet.
 BIN = 1024
+#: Tokens of a part in which coloured() counts.
+PART = 64
+#: X.TOKEN with blanks and the common letters and signs tried first, several times as fast.
+TOKEN = f"(?: ++|[{X.WS}]++)++|(?:[!-~À-ɏ]++|[^{X.WS}]++)++"
 
 
 def tokens(docs: DataFrame, separator: str = X.BLANK_LINE) -> DataFrame:
@@ -102,6 +106,81 @@ def word_colours(toks: DataFrame, highlights: DataFrame, found: DataFrame, selec
     return toks.select(*cols).join(best, cols)
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), the value computed once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _below(values: Column, wanted: Column) -> Column:
+    """How many of the ascending values are less than wanted, by halving, in as many steps as their number has bits."""
+
+    def step(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["lo"] + a["hi"], 1)
+        upper, lower = F.struct((mid + 1).alias("lo"), a["hi"].alias("hi")), F.struct(a["lo"].alias("lo"), mid.alias("hi"))
+        return F.when(a["lo"] >= a["hi"], a).when(F.get(values, mid) < wanted, upper).otherwise(lower)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(values)))), F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi")), step)["lo"]
+
+
+def _count(text: Column) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).cast("long")
+
+
+def _parts(text: Column, separator: str) -> Column:
+    """struct(text, end, first, n): the parts of PART tokens of each paragraph, where they end in the glued text, the index of their first token, and the number of all tokens."""
+
+    def of_paragraph(s: Column) -> Column:
+        cut = F.regexp_extract_all(s, F.lit(f"(?:{TOKEN}){{1,{PART}}}"), F.lit(0))
+        # only the last one can hold fewer
+        return _bound(cut, lambda p: F.transform(p, lambda t, i: F.struct(t.alias("text"), F.when(i < F.size(p) - 1, F.lit(PART).cast("long")).otherwise(_count(t)).alias("n"))))
+
+    def summed(p: Column) -> Column:
+        size, n = F.transform(p, lambda x: F.length(x["text"]).cast("long")), F.transform(p, lambda x: x["n"])
+        end, first = _bound(size, lambda v: X.running(v, True)), _bound(n, lambda v: X.running(v))
+        total = F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        return F.struct(F.transform(p, lambda x: x["text"]).alias("text"), end.alias("end"), first.alias("first"), total.alias("n"))
+
+    return _bound(F.flatten(F.transform(X.paragraphs_of(text, separator), of_paragraph)), summed)
+
+
+def _token_at(parts: Column, at: Column) -> Column:
+    """The index of the token that holds a character of the glued text: those before its part and those up to it in its part."""
+
+    def of(i: Column) -> Column:
+        text = F.get(parts["text"], i)
+        upto = at + 1 - (F.get(parts["end"], i) - F.length(text))
+        return F.get(parts["first"], i) + _count(text.substr(F.lit(1), upto.cast("int"))) - 1
+
+    return _bound(_below(parts["end"], at + 1), of)
+
+
+def coloured(docs: DataFrame, pattern: str, separator: str = X.BLANK_LINE) -> DataFrame:
+    """(doc_id, global_index, color): word_colours of the highlights and of the matches of a pattern in the glued text.
+
+    Documents are read once, and only tokens that have a colour become rows: a match counts tokens in
+    the parts of its first and its last character, a highlight ends with the document at the latest.
+    Documents that are already distributed by key, as those of ingest.dedupe, aren't shuffled.
+    """
+    body = glued(docs, separator)
+    ends = lambda f: _bound(F.transform(f, lambda x: (F.length(x["piece"]) + F.length(x["match"])).cast("long")), lambda n: X.running(n, True))
+    structs = _bound(body, lambda b: X.match_structs(b, pattern))
+    matches = _bound(structs, lambda f: F.zip_with(ends(f), f, lambda e, x: F.struct((e - F.length(x["match"])).alias("start"), e.alias("end"))))
+    marks = F.filter("highlights", lambda h: h["first_tok"].isNotNull() & (h["last_tok"] >= h["first_tok"]))
+
+    def spans(parts: Column) -> Column:
+        one = lambda a, b, rank, color: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), rank.alias("rank"), color.alias("color"))
+        found = F.transform(matches, lambda m: one(_token_at(parts, m["start"]), _token_at(parts, m["end"] - 1), F.lit(0), F.lit("amber")))
+        # a later highlight wins
+        marked = F.transform(marks, lambda h, i: one(F.greatest(h["first_tok"], F.lit(0)), F.when(h["last_tok"] < parts["n"], h["last_tok"]).otherwise(parts["n"] - 1), i + 1, X.or_default(h["color"], "amber")))
+        none = F.array().cast("array<struct<a:bigint,b:bigint,rank:int,color:string>>")
+        return F.concat(F.coalesce(found, none), F.coalesce(marked, none))
+
+    held = docs.filter((F.size("highlights") > 0) | body.rlike(X.java(pattern)))
+    rows = held.select("doc_id", F.explode(_bound(_parts(F.col("text"), separator), spans)).alias("s")).filter("s.a <= s.b")
+    each = rows.select("doc_id", F.explode(F.sequence("s.a", "s.b")).alias("global_index"), "s.rank", "s.color")
+    return each.groupBy("doc_id", "global_index").agg(F.max_by("color", "rank").alias("color"))
+
+
 def decorated(*parts: DataFrame) -> DataFrame:
     """(doc_id, global_index): the tokens that any part marks, once."""
     out = parts[0].select("doc_id", "global_index")

@@ -449,10 +449,7 @@ m as (
   union all select p.doc_id, global_index, 1, 'amber' from places p join spans s on p.doc_id = s.doc_id and p."end" > s.start and p.start < s."end")
 select doc_id, global_index, arg_max(color, r) as color from m join toks using (doc_id, global_index) group by 1, 2""")
 def word_colours(spark, d):
-    docs = documents(spark, d)
-    hits = P.matching(docs, X.phrase_pattern(WORD))
-    found = P.overlaps(P.with_offsets(P.tokens(hits)), P.match_spans(hits, X.phrase_pattern(WORD)))
-    return P.word_colours(P.tokens(docs), P.highlight_tokens(docs), found)
+    return P.coloured(documents(spark, d), X.phrase_pattern(WORD))
 
 
 @query(f"""with {TOKENS}, {sql_spans(X.phrase_pattern(WORD))},

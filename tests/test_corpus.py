@@ -1,6 +1,7 @@
 """Ingest, facets, spans, notes and contexts on small hand-made tables."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,43 @@ def test_highlights(doc):
     assert len(doc.filter("doc_id = 'a'").select(P.remove_highlight(F.col("highlights"), "h1").alias("h")).collect()[0]["h"]) == 3
 
 
+def slowly_coloured(docs, pattern):
+    found = P.overlaps(P.with_offsets(P.tokens(docs)), P.match_spans(docs, pattern))
+    return P.word_colours(P.tokens(docs), P.highlight_tokens(docs), found)
+
+
+def test_coloured_by_hand(spark):
+    # "le", " ", "roi" are tokens 0 to 2 of the first paragraph, "vient", " ", "tôt" 3 to 5; the last highlight ends far beyond them
+    marks = [("h1", -3, 0, "rose"), ("h2", 0, 0, ""), ("h3", 5, 2_000_000_000, "sky"), ("h4", 4, None, "sky"), ("h5", None, 4, "sky"), ("h6", 4, 3, "sky"), ("h7", 9, 2_000_000_000, "sky"), None]
+    docs = I.with_key(lib(spark, [{"id": "a", "text": "le roi\n \n\nvient tôt", "highlights": marks}, {"id": "n", "highlights": marks}, {"id": "e", "text": "", "highlights": marks}, {"id": "x", "text": "oiv"}]))
+    assert rows(P.coloured(docs, X.phrase_pattern("oiv")), "doc_id", "global_index", "color") == [("a", 0, "amber"), ("a", 2, "amber"), ("a", 3, "amber"), ("a", 5, "sky"), ("x", 0, "amber")]
+
+
+def test_coloured_is_word_colours(spark):
+    rng = random.Random(5)
+    pieces = ["mer", "MER", "me", "r", "rm", "é", "𝒳", "ɐ漢", " ", "  ", "\t", "\u00a0", "\u3000 ", "\n", "\n\n", "\n \u2003\n", ".", "--"]
+    full = []
+    for i in range(300):
+        size = rng.choice([0, 1, 5, 40, 400, 9000 if i % 50 == 0 else 90])
+        text = "".join(rng.choices(pieces, k=size))
+        marks = [(f"h{k}", a := rng.randrange(-2, size + 2), a + rng.randrange(-1, 9), rng.choice(["sky", "rose", "", None])) for k in range(rng.choice([0, 0, 3]))]
+        full.append({"id": f"d{i}", "text": text, "highlights": marks if i % 3 else None})
+    docs = I.with_key(lib(spark, full)).cache()
+    for pattern in (X.phrase_pattern("mer"), X.phrase_pattern("r m"), "(?i)(m|)", X.phrase_pattern("zz")):
+        got = rows(P.coloured(docs, pattern), "doc_id", "global_index", "color")
+        assert got == rows(slowly_coloured(docs, pattern), "doc_id", "global_index", "color")
+    assert len(got) > 100
+
+
+def test_word_colours_moves_documents_once_and_no_tokens(spark):
+    from quire.plans import corpus
+
+    plan = corpus.word_colours(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # the keys that win, and the documents
+    assert plan.count("Exchange") == 2
+    assert not any(x in plan for x in ("Window", "SortMergeJoin", "posexplode"))
+
+
 def test_paragraph_jump(doc):
     toks = P.tokens(doc)
     assert rows(P.paragraph_jump(toks, 2, X.phrase_pattern("dit")), "global_index") == [(7,)]
