@@ -127,7 +127,7 @@ def _count(text: Column) -> Column:
 
 
 def _parts(text: Column, separator: str) -> Column:
-    """struct(text, end, first, n): the parts of PART tokens of each paragraph, where they end in the glued text, the index of their first token, and the number of all tokens."""
+    """struct(part, end, first, n): the parts of PART tokens of each paragraph, where they end in the glued text, the index of their first token, and the number of all tokens."""
 
     def of_paragraph(s: Column) -> Column:
         cut = F.regexp_extract_all(s, F.lit(f"(?:{TOKEN}){{1,{PART}}}"), F.lit(0))
@@ -138,7 +138,7 @@ def _parts(text: Column, separator: str) -> Column:
         size, n = F.transform(p, lambda x: F.length(x["text"]).cast("long")), F.transform(p, lambda x: x["n"])
         end, first = _bound(size, lambda v: X.running(v, True)), _bound(n, lambda v: X.running(v))
         total = F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-        return F.struct(F.transform(p, lambda x: x["text"]).alias("text"), end.alias("end"), first.alias("first"), total.alias("n"))
+        return F.struct(p.alias("part"), end.alias("end"), first.alias("first"), total.alias("n"))
 
     return _bound(F.flatten(F.transform(X.paragraphs_of(text, separator), of_paragraph)), summed)
 
@@ -147,9 +147,11 @@ def _token_at(parts: Column, at: Column) -> Column:
     """The index of the token that holds a character of the glued text: those before its part and those up to it in its part."""
 
     def of(i: Column) -> Column:
-        text = F.get(parts["text"], i)
+        text, first = F.get(parts["part"], i)["text"], F.get(parts["first"], i)
         upto = at + 1 - (F.get(parts["end"], i) - F.length(text))
-        return F.get(parts["first"], i) + _count(text.substr(F.lit(1), upto.cast("int"))) - 1
+        # a paragraph without white space may be very long
+        single = (F.get(parts["part"], i)["n"] == 1) & (at >= 0)
+        return F.when(single, first).otherwise(first + _count(text.substr(F.lit(1), upto.cast("int"))) - 1)
 
     return _bound(_below(parts["end"], at + 1), of)
 

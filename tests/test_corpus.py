@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +135,14 @@ def test_coloured_is_word_colours(spark):
     assert len(got) > 100
 
 
+def test_coloured_without_white_space(spark):
+    docs = spark.createDataFrame([("a", "mer漢x" * 60_000, None)], "doc_id string, text string, highlights array<struct<id:string,first_tok:int,last_tok:int,color:string>>")
+    began = time.time()
+    assert rows(P.coloured(docs, X.phrase_pattern("mer")), "doc_id", "global_index", "color") == [("a", 0, "amber")]
+    # one token is counted once, not up to each match
+    assert time.time() - began < 60
+
+
 def test_word_colours_moves_documents_once_and_no_tokens(spark):
     from quire.plans import corpus
 
